@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragloom.llm import formatting_copies, lookalikes, mixing, neighbours, packing, splitting
+from ragloom.llm import formatting_copies, lookalikes, mixing, neighbours, packing, sentences, splitting
 from ragloom.sources.tables import table
 
 
+def p1_found(spark, base):
+    units = sentences.sentence_units(table(spark, base, "rag_documents"), "document_id", "content", "language")
+    return units.withColumnRenamed("id", "document_id")
+
+
 def p2_found(spark, base):
     return splitting.audit(table(spark, base, "chunks"), table(spark, base, "rag_documents"), table(spark, base, "chunk_specs"))
 
@@ -80,7 +85,7 @@ def p9_classes(spark, base):
 
 QUERIES = {
     f.__name__: f for f in (
-        p2_found, p2_document_pieces, p2_chunk_pieces, p5_found, p6_found, p6_collapsed, p7_found, p7_containers, p7_fill,
+        p1_found, p2_found, p2_document_pieces, p2_chunk_pieces, p5_found, p6_found, p6_collapsed, p7_found, p7_containers, p7_fill,
         p8_mix, p8_shares, p9_found, p9_forms, p9_classes)
 }
 
