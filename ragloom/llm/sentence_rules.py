@@ -93,7 +93,7 @@ GLUED = (
 ENGLISH = LAYOUT + LATIN_QUOTES + (
     # A quotation goes on with its reporting clause; a decimal point or an ellipsis goes on in lower case.
     no(_STOP + _CLOSE + "*", r"\s+[\"'“‘(]?\p{Ll}"),
-    no(_STOP + "[\"”’]", r"\s+(?:\p{Lu}[\w.]*\s+){1,3}(?:" + EN_SAYING + r")\b(?!\s*[:,])"),
+    no(_STOP + "[\"”’]", r"\s+(?:\p{Lu}[\w.]*\s+){1,3}(?:" + EN_SAYING + r")[.!?]"),
     no(r"\b(?:" + EN_TITLES + r")\.", r"\s"),
     yes(r"\p{Ll}\s+[A-Z]\.", r"\s+(?:" + EN_STARTS + r")\s"),
     no(r"(?:^|[\s(\"“‘'.])(?:[A-Z]\.[^\S\n]*)*[A-Z]\.", r"\s+(?:[A-Z]\.|[A-Z][a-z])"),
