@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragloom.llm import formatting_copies, lookalikes, mixing, neighbours, packing, sentences, splitting
+from ragloom.llm import defects, formatting_copies, lookalikes, mixing, neighbours, packing, sentences, splitting
 from ragloom.sources.tables import table
 
 
@@ -31,6 +31,11 @@ def p2_chunk_pieces(spark, base):
     return splitting.pieces(chunks, ["chunk_id", "strategy"], "content", "size_limit", "overlap")
 
 
+def p4_found(spark, base):
+    pairs = defects.answer_pairs(table(spark, base, "queries"), table(spark, base, "responses"))
+    return defects.defects(pairs).withColumnRenamed("id", "item_id")
+
+
 def p5_found(spark, base):
     near = neighbours.nearest(table(spark, base, "chunks"), "chunk_id", "embedding")
     return neighbours.neighbour_pairs(near).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
@@ -85,7 +90,7 @@ def p9_classes(spark, base):
 
 QUERIES = {
     f.__name__: f for f in (
-        p1_found, p2_found, p2_document_pieces, p2_chunk_pieces, p5_found, p6_found, p6_collapsed, p7_found, p7_containers, p7_fill,
+        p1_found, p2_found, p2_document_pieces, p2_chunk_pieces, p4_found, p5_found, p6_found, p6_collapsed, p7_found, p7_containers, p7_fill,
         p8_mix, p8_shares, p9_found, p9_forms, p9_classes)
 }
 
