@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragloom.llm import defects, formatting_copies, lookalikes, mixing, neighbours, packing, sentences, splitting
+from ragloom.llm import alignment, defects, formatting_copies, lookalikes, mixing, neighbours, packing, sentences, splitting
 from ragloom.sources.tables import table
 
 
@@ -31,6 +31,10 @@ def p2_chunk_pieces(spark, base):
     return splitting.pieces(chunks, ["chunk_id", "strategy"], "content", "size_limit", "overlap")
 
 
+def p3_found(spark, base):
+    return alignment.aligned_lines(table(spark, base, "translated_docs"), table(spark, base, "lexicon"))
+
+
 def p4_found(spark, base):
     pairs = defects.answer_pairs(table(spark, base, "queries"), table(spark, base, "responses"))
     return defects.defects(pairs).withColumnRenamed("id", "item_id")
@@ -90,7 +94,7 @@ def p9_classes(spark, base):
 
 QUERIES = {
     f.__name__: f for f in (
-        p1_found, p2_found, p2_document_pieces, p2_chunk_pieces, p4_found, p5_found, p6_found, p6_collapsed, p7_found, p7_containers, p7_fill,
+        p1_found, p2_found, p2_document_pieces, p2_chunk_pieces, p3_found, p4_found, p5_found, p6_found, p6_collapsed, p7_found, p7_containers, p7_fill,
         p8_mix, p8_shares, p9_found, p9_forms, p9_classes)
 }
 
