@@ -90,7 +90,7 @@ def is_copied(question: str | None, answer: str) -> bool:
     known = set(q)
     if not a or not q or len(a) < 0.8 * len(q) or sum(w in known for w in a) < len(a) - len(a) // 10:
         return False
-    covered = tiles(a, q * -(-len(a) // len(q)), min(3, len(q)))
+    covered = sum(tiles(a[i:i + len(q)], q, min(3, len(q))) for i in range(0, len(a), len(q)))
     return covered >= len(a) - len(a) // 10 and covered >= 0.8 * len(q)
 
 
@@ -218,6 +218,8 @@ _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』",
 _CLOSERS = frozenset(_OPEN.values())
 _VOID = frozenset("br hr img input meta link wbr".split())
 _LIST_ITEM = re.compile(r"^\s*(?:[-*•]|\(?\d{1,3}[.)]|[a-z][.)])\s*(.*)$")
+_WHOLE_TAG = re.compile(r"<(/?)([A-Za-z][\w:-]*)(?:\s[^<>]*)?(/?)>")
+_CUT_TAG = re.compile(r"</?[A-Za-z][\w:-]*(?:\s[^<>]*)?$")
 _INTRODUCES = re.compile(r"[:：]\s*$")
 
 
@@ -246,7 +248,7 @@ def structure_fault(text: str) -> str | None:
         while i < len(line):
             ch = line[i]
             if ch == "<":
-                tag = re.match(r"<(/?)([A-Za-z][\w:-]*)(?:\s[^<>]*)?(/?)>", line[i:])
+                tag = _WHOLE_TAG.match(line, i)
                 if tag:
                     name = tag.group(2).lower()
                     if tag.group(1):
@@ -255,9 +257,9 @@ def structure_fault(text: str) -> str | None:
                                 pass
                     elif not tag.group(3) and name not in _VOID:
                         stack.append(f"<{name}>")
-                    i += tag.end()
+                    i = tag.end()
                     continue
-                if re.match(r"</?[A-Za-z][\w:-]*(?:\s[^<>]*)?$", line[i:]):
+                if _CUT_TAG.match(line, i):
                     return "tag"
             elif ch == '"' and not (i and line[i - 1].isdigit()):
                 if '"' in stack:

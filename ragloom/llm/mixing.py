@@ -20,7 +20,8 @@ from pyspark.sql import Window
 from ragloom.llm.tokens import token_count
 from ragloom.operators.durable import durable
 
-BUCKETS = 64
+#: Documents of one source and size class are ordered in at least so many slots, and in more above this many documents a slot.
+BUCKETS, SLOT_ROWS = 64, 5_000_000
 
 
 def sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -54,6 +55,7 @@ def mix(df: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_co
     """
     items = durable(sized(df, id_col, text_col, source_col))
     plan = durable(rates(items, targets, total))
+    buckets = max(buckets, items.count() // SLOT_ROWS)
     place = items.join(F.broadcast(plan.select("source", "rate")), "source").withColumn(
         "class", F.floor(F.log2(F.col("tokens").cast("double")) * 4).cast("int")).withColumn(
         "slot", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
@@ -66,8 +68,7 @@ def mix(df: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_co
     start = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0) + F.lit(offset)
     start = start - F.floor(start)
     rank = F.col("before") + F.col("nth")
-    # Sources have few buckets (size classes times slots), so their offsets are a bounded table.
-    return place.withColumn("nth", nth).join(F.broadcast(before), ["source", "class", "slot"]).select(
+    return place.withColumn("nth", nth).join(before, ["source", "class", "slot"]).select(
         "id", "source", "tokens",
         (F.floor(rank * F.col("rate") + start) - F.floor((rank - 1) * F.col("rate") + start)).cast("int").alias("copies")
     ).where("copies > 0")

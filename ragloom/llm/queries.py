@@ -98,4 +98,16 @@ QUERIES = {
         p8_mix, p8_shares, p9_found, p9_forms, p9_classes)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_found": r"""with c as (select distinct on (chunk_id) * from chunks),
+p as (select c.*, size_limit, overlap, d.content doc, b.end_idx before_end, substr(d.content, c.start_idx + 1, c.end_idx - c.start_idx) stretch
+  from c left join rag_documents d using (document_id) left join chunk_specs s using (strategy)
+  left join c b on b.document_id = c.document_id and b.strategy = c.strategy and b.sequence_num = c.sequence_num - 1)
+select chunk_id, 'oversize' fault from p where length(content) > size_limit
+union all select chunk_id, 'content' from p where coalesce(stretch <> content, true)
+union all select chunk_id, 'overlap' from p where sequence_num > 0 and start_idx <> before_end - overlap
+union all select chunk_id, 'midword' from p where end_idx > 0 and regexp_matches(substr(doc, end_idx, 2), '^[\p{L}\p{N}]{2}$')
+  and regexp_matches(substr(stretch, length(stretch) // 2 + 1), '[\s\x0b\x1c-\x1f\x85\p{Z}]')""",
+    "p7_found": r"""select distinct doc_id from documents
+where len(regexp_extract_all("text", '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\p{Z}]+')) > 1024""",
+}

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 _CLOSE = r"[\"'”’»›“‘)\]}」』）】》〉＂＇]"
 _STOP = r"[.!?…‼⁇⁈⁉]"
 _WIDE_STOP = r"[。！？．｡]"
+# A run of stops with its closing marks. It is entered at its start only and never re-read, so long runs stay linear.
+_STOPS = r"(?<!" + _STOP + ")" + _STOP + "++" + _CLOSE + "*+"
 
 
 @dataclass(frozen=True)
@@ -68,7 +70,7 @@ LAYOUT = (
     # A list item on a line of its own, marker included; an ordinal or date that was wrapped is no marker.
     no(r"\b(?:[Aa]m|[Dd]en|[Vv]om|[Zz]um|[Dd]er|[Bb]is|[Nn]o\.|[Nn]r\.|[Nn]os\.|[Ff]ig\.|[Ss]ec\.|und|and|\d,)" + _BREAK, r"[^\S\n]*\d+[.)]"),
     no(r"\d{4}\.(?:\s+\d{1,2}\.)?" + _BREAK, r"[^\S\n]*\d{1,2}\."),
-    yes(_BREAK, r"[^\S\n]*" + _MARKER),
+    yes(r"\n", r"[^\S\n]*" + _MARKER),
     # A paragraph ends at a blank line.
     yes(r"\n", r"[^\S\n]*\r?\n"),
     yes(r"\n[^\S\n]*\r?\n", r""),
@@ -86,8 +88,8 @@ EAST_QUOTES = _spans("“ ”", "「 」", "『 』", "（ ）", "《 》", '" "
 
 # A sentence that follows without a blank.
 GLUED = (
-    yes(r"(?:\p{Ll}{2}|[\d%])" + _STOP + "+" + _CLOSE + "*", r"[\"“‘«(]?(?:\p{Lu}\p{Ll}|\p{Lu}\.?\s)"),
-    yes(r"[가-힣]" + _STOP + "+" + _CLOSE + "*", r"[\"“‘(]?[가-힣\p{Lu}\d]"),
+    yes(r"(?<=\p{Ll}{2}|[\d%])" + _STOPS, r"[\"“‘«(]?(?:\p{Lu}\p{Ll}|\p{Lu}\.?\s)"),
+    yes(r"(?<=[가-힣])" + _STOPS, r"[\"“‘(]?[가-힣\p{Lu}\d]"),
 )
 
 ENGLISH = LAYOUT + LATIN_QUOTES + (
@@ -101,9 +103,8 @@ ENGLISH = LAYOUT + LATIN_QUOTES + (
     no(r"\b(?:" + EN_NUMBERED + r")\.", r"\s+[\d(#]"),
     no(r"\b[ap]\.m\.", r"\s+(?:" + EN_DAYS + r")\b"),
     no(r"\b(?:etc|Inc|Ltd|Jr|Sr)\.", r"\s+[a-z\d(&]"),
-    yes(_STOP + "+" + _CLOSE + "*", r"\s"),
-    yes(_STOP + r"+\s*[)»]", r"\s"),
-    yes(_WIDE_STOP + _CLOSE + "*", r"[^。！？．｡”’」』）\"')]"),
+    yes(_STOPS, r"\s"),
+        yes(_WIDE_STOP + _CLOSE + "*+", r"[^。！？．｡”’」』）\"')]"),
 ) + GLUED
 
 GERMAN = LAYOUT + _spans("„ “", "» «", "« »", "‚ ‘", '" "', "( )") + (
@@ -112,8 +113,8 @@ GERMAN = LAYOUT + _spans("„ “", "» «", "« »", "‚ ‘", '" "', "( )") +
     no(r"\b\d{1,2}\.", r"\s+(?:" + DE_MONTHS + r"|\d)"),
     no(r"\b(?:am|den|vom|zum|der|dem|im|Am|Den|Vom|Zum|Der|Dem|Im)\s+\d{1,3}\.", r"\s"),
     no(r"(?:^|[\s(])[A-ZÄÖÜ]\.", r"\s+[A-ZÄÖÜ]"),
-    yes(_STOP + "+" + _CLOSE + "*", r"\s"),
-    yes(_WIDE_STOP + _CLOSE + "*", r"[^。！？．｡”’」』）\"')]"),
+    yes(_STOPS, r"\s"),
+    yes(_WIDE_STOP + _CLOSE + "*+", r"[^。！？．｡”’」』）\"')]"),
 ) + GLUED
 
 FRENCH = LAYOUT + _spans("« »", "“ ”", '" "', "( )") + (
@@ -121,9 +122,9 @@ FRENCH = LAYOUT + _spans("« »", "“ ”", '" "', "( )") + (
     no(_STOP, r"[^\S\n]+[!?»]"),
     no(r"\b(?:" + FR_MIDDLE + r")\.", r"\s"),
     no(r"(?:^|[\s(])[A-ZÀÂÇÉÈÊËÎÏÔÙÛ]\.", r"\s+[A-Z]"),
-    yes(r"[!?.…]+[^\S\n]*»", r"\s"),
-    yes(_STOP + "+" + _CLOSE + "*", r"\s"),
-    yes(_WIDE_STOP + _CLOSE + "*", r"[^。！？．｡”’」』）\"')]"),
+    yes(r"(?<![!?.…])[!?.…]++[^\S\n]?»", r"\s"),
+    yes(_STOPS, r"\s"),
+    yes(_WIDE_STOP + _CLOSE + "*+", r"[^。！？．｡”’」』）\"')]"),
 ) + GLUED
 
 KOREAN = LAYOUT + _spans("“ ”", "‘ ’", '" "', "( )", "（ ）", "「 」", "『 』") + (
@@ -134,8 +135,8 @@ KOREAN = LAYOUT + _spans("“ ”", "‘ ’", '" "', "( )", "（ ）", "「 」
     # An ellipsis ends a sentence only after a closing ending.
     yes(r"[다요까죠네라자오음함됨임](?:…+|\.{2,})" + _CLOSE + "*", r"\s"),
     no(r"(?:…|\.{2,})", r"\s"),
-    yes(_STOP + "+" + _CLOSE + "*", r"\s"),
-    yes(_WIDE_STOP + _CLOSE + "*", r"[^。！？．｡”’」』）\"')]"),
+    yes(_STOPS, r"\s"),
+    yes(_WIDE_STOP + _CLOSE + "*+", r"[^。！？．｡”’」』）\"')]"),
     # Endings without a stop.
     yes(r"(?:" + KO_PLAIN + "|" + KO_POLITE + ")", r"\s+\S"),
 ) + GLUED
@@ -143,7 +144,7 @@ KOREAN = LAYOUT + _spans("“ ”", "‘ ’", '" "', "( )", "（ ）", "「 」
 JAPANESE = LAYOUT + EAST_QUOTES + (
     no(_WIDE_STOP + r"+[」』”）]+", r"(?:と|って|という|との|とか|など|は|が|を|に|の|も|で|へ|、|，|。)"),
     no(r"\d．", r"\d"),
-    yes(r"(?:" + _WIDE_STOP + r"|[!?])+[」』”）)]*", r"[^。！？．｡!?」』”）)、，]"),
+    yes(r"(?<![。！？．｡!?])[。！？．｡!?]++[」』”）)]*+", r"[^。！？．｡!?」』”）)、，]"),
     yes(r"\.[」』”）)]*", r"\s+[぀-ヿ一-鿿]"),
     yes(r"…", r"\s*\n"),
 )
@@ -152,14 +153,14 @@ CHINESE = LAYOUT + EAST_QUOTES + (
     # A quotation that isn't introduced by a colon is a part of the clause around it.
     no(r"(?<![：:][^\S\n]{0,2})(?:“[^“”\n]*”|「[^「」\n]*」)(?<=[。！？…][”」])", r"[^\s“「（。！？]"),
     no(r"\d．", r"\d"),
-    yes(r"(?:" + _WIDE_STOP + r"|[!?])+[」』”’）)]*", r"[^。！？．｡!?」』”’）)，、]"),
+    yes(r"(?<![。！？．｡!?])[。！？．｡!?]++[」』”’）)]*+", r"[^。！？．｡!?」』”’）)，、]"),
     yes(r"\.[”）)]*", r"\s+[一-鿿]"),
 )
 
 HINDI = LAYOUT + _spans("“ ”", '" "', "‘ ’", "( )") + (
     no(r"(?:" + HI_MIDDLE + r")\.", r"\s"),
     no(r"[।॥!?]" + _CLOSE + "+", r"\s*(?:कहा|बोले|बोला|बोली|पूछा|ऐसा|यह\s+कहकर)"),
-    yes(r"[।॥!?…]+" + _CLOSE + "*", r"\s"),
+    yes(r"(?<![।॥!?…])[।॥!?…]++" + _CLOSE + "*+", r"\s"),
     yes(r"[।॥]" + _CLOSE + "*", r"[^\s।॥”’\")]"),
     yes(r"[ऀ-ॿ]\." + _CLOSE + "*", r"\s"),
 )
