@@ -22,7 +22,12 @@ _ASKED = re.compile(r"^\s*(?:>+\s*)?(?:q(?:uestion)?\s*[.:：]|you asked\s*[:：
 
 def bare(answer: str) -> str:
     """The answer without invisible characters, markup tags and labels in front."""
-    text = _TAG.sub(" ", _INVISIBLE.sub("", answer)).strip()
+    return unlabelled(_TAG.sub(" ", answer))
+
+
+def unlabelled(answer: str) -> str:
+    """The answer without invisible characters and labels in front."""
+    text = _INVISIBLE.sub("", answer).strip()
     while True:
         rest = _LABEL.sub("", text, count=1)
         if rest == text:

@@ -36,7 +36,7 @@ def visible_defect(question: str | None, language: str | None, answer: str | Non
         return "refusal"
     if checks.is_wrong_language(question, language, answer):
         return "wrong_language"
-    if checks.open_end(checks.bare(answer)):
+    if checks.open_end(checks.unlabelled(answer)):
         return "truncated"
     return None
 

@@ -85,7 +85,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY, op
         _pack(capacity, open_windows, "a", "window", leftovers=True),
         "id bigint, piece int, n_pieces int, size int, window string"))
     loose = first.where("piece < 0").select("window", "size")
-    partitions = -(-first.rdd.getNumPartitions() // MERGE_FAN_IN)
+    partitions = max(1, -(-first.rdd.getNumPartitions() // MERGE_FAN_IN))
     merged = loose.repartitionByRange(partitions, F.desc("size"), "window").sortWithinPartitions(
         F.desc("size"), "window").mapInPandas(
         _pack(capacity, open_windows * MERGE_FAN_IN, "b", "container"), "window string, size int, container string")

@@ -84,6 +84,12 @@ def split(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int]]:
                 break
             target = min(max(start + overlap + (n - start - overlap) // (rest + 1), low), high)
             end = best_cut(text, low, high, target)
+            if boundary_faults(text, start, end):
+                # A blank below the range is still better than a cut word; a further piece makes up for it.
+                blank = next(c for c in range(end, start + (end - start) // 2, -1) if text[c - 1].isspace())
+                end = blank if blank > start + overlap else end
+                if n - end + overlap > rest * (limit - overlap) + overlap:
+                    break
             out.append((start, end))
             start = end - overlap
             if n - start <= limit:
