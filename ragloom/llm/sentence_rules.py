@@ -98,7 +98,7 @@ ENGLISH = LAYOUT + LATIN_QUOTES + (
     no(_STOP + "[\"”’]", r"\s+(?:\p{Lu}[\w.]*\s+){1,3}(?:" + EN_SAYING + r")[.!?]"),
     no(r"\b(?:" + EN_TITLES + r")\.", r"\s"),
     yes(r"\p{Ll}\s+[A-Z]\.", r"\s+(?:" + EN_STARTS + r")\s"),
-    no(r"(?:^|[\s(\"“‘'.])(?:[A-Z]\.[^\S\n]*)*[A-Z]\.", r"\s+(?:[A-Z]\.|[A-Z][a-z])"),
+    no(r"(?:^|[\s(\"“‘'.!?])(?:[A-Z]\.[^\S\n]*)*[A-Z]\.", r"\s+(?:[A-Z]\.|[A-Z][a-z])"),
     no(r"\b(?:" + EN_MIDDLE + r")\.", r"\s"),
     no(r"\b(?:" + EN_NUMBERED + r")\.", r"\s+[\d(#]"),
     no(r"\b[ap]\.m\.", r"\s+(?:" + EN_DAYS + r")\b"),
