@@ -2,7 +2,8 @@
 
 A pushdown parser and the marks at the end find answers that break off visibly; the rest of the answers without a
 closing mark are judged by their last words: the corpus tells how often a word (after the word before it) ends a
-text, and which words only ever occur as the cut-off beginning of another.
+text, and which words only ever occur as the cut-off beginning of another. Short answers and sentences are counted
+apart, as a name that is often a whole answer seldom ends a sentence.
 
 At most one defect a pair, in the order empty, copied, refusal, wrong_language, truncated. Defined results: a null
 answer is empty; a null or unknown question leaves the checks that need no question; an id counts once, with any
@@ -22,9 +23,10 @@ from ragloom.llm import answer_checks as checks
 from ragloom.operators.durable import durable
 from ragloom.operators.skew import salted_join
 
-#: A pair of last words that is seen at least SEEN times is open if it ends fewer than PAIR_ENDS of them; else the
-#: last word is judged alike by WORD_ENDS; a word that only ends texts is a fragment of FRAGMENT times as many others.
-SEEN, PAIR_ENDS, WORD_ENDS, FRAGMENT = 20, 0.05, 0.02, 20
+#: A pair of last words that is seen at least SEEN times is open if it ends fewer than PAIR_ENDS of them; a last word
+#: is judged alike by WORD_ENDS. Pair and word are looked up among texts of the same kind first (short ones have up to
+#: SHORT words), then among all. A word that only ends texts is a fragment of FRAGMENT times as many longer ones.
+SEEN, PAIR_ENDS, WORD_ENDS, SHORT, FRAGMENT = 20, 0.05, 0.02, 4, 20
 
 
 def visible_defect(question: str | None, language: str | None, answer: str | None) -> str | None:
@@ -42,37 +44,41 @@ def visible_defect(question: str | None, language: str | None, answer: str | Non
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pair rows (side, id, defect, before, last) and counts of word pairs (before, last, n, stops, bare)."""
+    """Pair rows (side, id, defect, before, last, short) and counts of word pairs (before, last, short, n, stops, bare)."""
     for batch in batches:
         found, counts = [], defaultdict(lambda: [0, 0, 0])
         for side, key, question, language, answer in zip(batch["side"], batch["id"], batch["question"], batch["language"], batch["answer"]):
             defect = visible_defect(question, language, answer)
             if defect:
-                found.append((side, key, defect, None, None))
+                found.append((side, key, defect, None, None, False))
                 if defect != "truncated":
                     continue
             text = checks.bare(answer)
             words = ["0" if w.isdigit() else checks.DIGITS.sub("0", w) for w in checks.WORD.findall(text.casefold())]
+            short = len(words) <= SHORT
             closed = checks.closed_end(text)
             ends = {len(words) - 1} if closed else set()
             for at, (a, b) in enumerate(zip(["", *words], words)):
-                counts[a, b][0] += 1
+                counts[a, b, short][0] += 1
                 if at in ends:
-                    counts[a, b][1] += 1
+                    counts[a, b, short][1] += 1
             if not closed and not defect and words:
                 before, last = checks.last_words(text)
-                counts[before, last][2] += 1
-                found.append((side, key, None, before, last))
-        out = pd.DataFrame(found, columns=["side", "id", "defect", "before", "last"])
-        stats = pd.DataFrame([(a, b, *n) for (a, b), n in counts.items()], columns=["before", "last", "n", "stops", "bare"])
+                counts[before, last, short][2] += 1
+                found.append((side, key, None, before, last, short))
+        out = pd.DataFrame(found, columns=["side", "id", "defect", "before", "last", "short"])
+        stats = pd.DataFrame([(*k, *n) for k, n in counts.items()], columns=["before", "last", "short", "n", "stops", "bare"])
         yield pd.concat([out.assign(n=0, stops=0, bare=0), stats.assign(side=None, id=None, defect=None)], ignore_index=True)[
-            ["side", "id", "defect", "before", "last", "n", "stops", "bare"]]
+            ["side", "id", "defect", "before", "last", "short", "n", "stops", "bare"]]
 
 
 def open_endings(counts: DataFrame) -> DataFrame:
-    """(before, last) of word pairs at which a text without closing mark breaks off."""
-    pairs = counts.groupBy("before", "last").agg(*[F.sum(c).alias(c) for c in ("n", "stops", "bare")])
-    words = pairs.groupBy("last").agg(*[F.sum(c).alias("w_" + c) for c in ("n", "stops", "bare")])
+    """(before, last, short) of word pairs at which a text without closing mark breaks off."""
+    total = lambda df, keys, name: df.groupBy(*keys).agg(*[F.sum(c).alias(f"{name}{c}") for c in ("n", "stops", "bare")])
+    kinds = total(counts, ["before", "last", "short"], "k_")
+    pairs = total(counts, ["before", "last"], "")
+    kind_words = total(counts, ["last", "short"], "kw_")
+    words = total(counts, ["last"], "w_")
 
     def longer(df: DataFrame, keys: list[str], n: str, name: str) -> DataFrame:
         """How often longer words begin with a word, in the same place."""
@@ -80,23 +86,24 @@ def open_endings(counts: DataFrame) -> DataFrame:
         return df.select(*keys, F.explode(heads).alias("head"), "last", n).where(F.col("head") != F.col("last")).groupBy(
             *keys, F.col("head").alias("last")).agg(F.sum(n).alias(name))
 
-    ending = (pairs.where("bare > 0").join(words, "last").join(longer(words, [], "w_n", "w_longer"), "last", "left")
-              .join(longer(pairs, ["before"], "n", "longer"), ["before", "last"], "left"))
+    ending = (kinds.where("k_bare > 0").join(pairs, ["before", "last"]).join(kind_words, ["last", "short"]).join(words, "last")
+              .join(longer(words, [], "w_n", "w_longer"), "last", "left").join(longer(pairs, ["before"], "n", "longer"), ["before", "last"], "left"))
     fragment = ((F.col("w_n") == F.col("w_bare")) & (F.coalesce("w_longer", F.lit(0)) >= FRAGMENT * F.col("w_n"))
                 | (F.col("n") == F.col("bare")) & (F.coalesce("longer", F.lit(0)) >= FRAGMENT * F.col("n")))
-    by_pair = (F.col("n") >= SEEN) & (F.col("stops") + F.col("bare") < PAIR_ENDS * F.col("n"))
-    by_word = (F.col("n") < SEEN) & (F.col("w_n") >= SEEN) & (F.col("w_stops") + F.col("w_bare") < WORD_ENDS * F.col("w_n"))
-    return ending.where(fragment | by_pair | by_word).select("before", "last")
+    rare = lambda name, least: F.col(f"{name}stops") + F.col(f"{name}bare") < least * F.col(f"{name}n")
+    judged = (F.when(F.col("k_n") >= SEEN, rare("k_", PAIR_ENDS)).when(F.col("kw_n") >= SEEN, rare("kw_", WORD_ENDS))
+              .when(F.col("n") >= SEEN, rare("", PAIR_ENDS)).when(F.col("w_n") >= SEEN, rare("w_", WORD_ENDS)).otherwise(F.lit(False)))
+    return ending.where(fragment | judged).select("before", "last", "short")
 
 
 def defects(pairs: DataFrame) -> DataFrame:
     """(side, id, defect) of pairs (side, id, question, language, answer)."""
     judged = durable(pairs.select("side", "id", "question", "language", "answer").mapInPandas(
-        _judge, "side string, id string, defect string, before string, last string, n bigint, stops bigint, bare bigint"))
+        _judge, "side string, id string, defect string, before string, last string, short boolean, n bigint, stops bigint, bare bigint"))
     seen = judged.where("defect is not null").select("side", "id", "defect")
-    key = F.concat_ws("\u0001", "before", "last").alias("key")
+    key = F.concat_ws("\u0001", "before", "last", F.col("short").cast("string")).alias("key")
     doubtful = judged.where("id is not null and defect is null").select("side", "id", key)
-    endings = open_endings(judged.where("n > 0 or bare > 0").select("before", "last", "n", "stops", "bare")).select(key)
+    endings = open_endings(judged.where("n > 0 or bare > 0").select("before", "last", "short", "n", "stops", "bare")).select(key)
     cut = salted_join(doubtful, endings, "key", F.xxhash64("id"), "inner")
     return seen.unionByName(cut.select("side", "id", F.lit("truncated").alias("defect")))
 

@@ -186,9 +186,9 @@ def test_tiling_covers_moved_runs():
 
 def test_cut_off_words(spark):
     full = "The office recorded {} cases of fever during the winter, most of them among workers"
-    queries = spark.createDataFrame([("q", Q, "en", "Because of rain")] * 2, "query_id string, question string, language string, expected_answer string")
+    queries = spark.createDataFrame([("q", Q, "en", "Because of fever")] * 2, "query_id string, question string, language string, expected_answer string")
     rows = [(f"r{i}", "q", full.format(i) + ".") for i in range(60)] + [("cut1", "q", "The office recorded 5 cases of"), ("cut2", "q", "The office recorded 5 cases of fever duri"),
-            ("fine", "q", full.format(3)), ("null", "missing", None), ("short", "q", "Because of rain"), ("fine", "q", full.format(3))]
+            ("fine", "q", full.format(3)), ("null", "missing", None), *[(f"short{i}", "q", "Because of fever") for i in range(20)], ("fine", "q", full.format(3))]
     responses = spark.createDataFrame(rows, "response_id string, query_id string, response string").withColumn("question", F.lit("clash"))
     got = {tuple(r) for r in defects.defects(defects.answer_pairs(queries, responses)).collect()}
     assert got == {("response", "cut1", "truncated"), ("response", "cut2", "truncated"), ("response", "null", "empty")}
