@@ -70,6 +70,12 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
+def at_least(a: str, b: str, threshold: float) -> bool:
+    """Whether the ratio reaches the threshold; its cheap upper bounds are tried first."""
+    match = difflib.SequenceMatcher(None, a, b)
+    return match.real_quick_ratio() >= threshold and match.quick_ratio() >= threshold and match.ratio() >= threshold
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib similarity of two texts."""

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.functions.text import BLANK, is_korean, ratio, sentences, trim_blank, words
+from ragloom.functions.text import BLANK, at_least, is_korean, sentences, trim_blank, words
 
 LIMIT = 512
 
@@ -226,7 +226,7 @@ def merge_similar(content: str, parts: list[str], group: int, threshold: float)
     for text in texts:
         if not current:
             current = text
-        elif ratio(current, text) >= threshold:
+        elif at_least(current, text, threshold):
             current = f"{current} {text}"
         else:
             merged.append(current)

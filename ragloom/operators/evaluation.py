@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ragloom.operators.durable import durable
+
 METRICS = ("hit", "precision", "recall", "mrr", "map", "ndcg")
 
 
@@ -47,11 +49,18 @@ def better(metric: Column, a: Column, b: Column) -> Column:
 
 
 def auroc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """Extension: area under the ROC curve by rank sums over distinct scores, ties at their mean rank."""
+    """Extension: area under the ROC curve by rank sums over distinct scores, ties at their mean rank.
+
+    Ranks come from two levels of prefix sums: within ranges of the scores, and over the few ranges.
+    """
     per = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    below = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    ranks = per.withColumn("mean_rank", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2.0)
+    per = durable(per.repartitionByRange("s").withColumn("part", F.spark_partition_id()))
+    ranges = per.groupBy("part").agg(F.sum("n").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(
+        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")  # a row a range
+    below = F.sum("n").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    ranks = per.withColumn("below", F.coalesce(below, F.lit(0))).join(ranges, "part").withColumn(
+        "mean_rank", F.col("before") + F.col("below") + (F.col("n") + 1) / 2.0)
     p, n = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
     return ranks.agg(F.round(F.try_divide(F.sum(F.col("pos") * F.col("mean_rank")) - p * (p + 1) / 2.0, (p * n).cast("double")), 6).alias("auroc"))
 

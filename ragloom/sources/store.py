@@ -1,12 +1,12 @@
 """Chunk store: parquet partitioned by strategy. Reads prune by strategy, statistics are always recomputed.
 
-Rewrites go to a new version folder named in a pointer file, so a reader never sees half a store and a lost executor
-never spoils the old one.
+Every rewrite is a new version folder; the newest one with a success mark is the store. A reader never sees half a
+store, and a write that fails leaves the old version in place.
 """
 
 from __future__ import annotations
 
-import uuid
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,24 +21,24 @@ class ChunkStore:
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _current(self) -> str | None:
+    def _versions(self) -> list[str]:
+        """Complete versions, the oldest first."""
         fs, make = self._fs()
-        if not fs.exists(make(f"{self.path}/CURRENT")):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+        if not fs.exists(make(self.path)):
+            return []
+        names = sorted(x.getPath().getName() for x in fs.listStatus(make(self.path)))
+        return [n for n in names if n.startswith("v-") and fs.exists(make(f"{self.path}/{n}/_SUCCESS"))]
 
     def read(self) -> DataFrame | None:
-        version = self._current()
-        return self.spark.read.parquet(f"{self.path}/{version}") if version else None
+        versions = self._versions()
+        return self.spark.read.parquet(f"{self.path}/{versions[-1]}") if versions else None
 
     def _write(self, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.partitionBy("strategy").parquet(f"{self.path}/{version}")
-        old = self._current()
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT")
-        if old:
-            fs, make = self._fs()
-            fs.delete(make(f"{self.path}/{old}"), True)
+        old = self._versions()
+        df.write.partitionBy("strategy").parquet(f"{self.path}/v-{time.time_ns():020d}")
+        fs, make = self._fs()
+        for version in old:
+            fs.delete(make(f"{self.path}/{version}"), True)
 
     def save(self, chunks: DataFrame) -> None:
         """Upsert by (document_id, strategy): stored chunks of the same documents and strategies are replaced."""
