@@ -1,8 +1,11 @@
-"""Ensembles over the responses of a query: one response a strategy, so a group is as small as the strategy list."""
+"""Ensembles over all distinct responses of a query; no step collects the responses of one query."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,15 +13,12 @@ from pyspark.sql import Window
 
 from ragloom.functions.text import rouge_l, word_count, words
 
-_ONE = "struct<response_id:string,query_id:string,strategy:string,response:string,confidence:double,generation_time:double,score:double>"
+_VOTED = "response_id:string,query_id:string,strategy:string,response:string,confidence:double,generation_time:double,score:double,votes:int,candidates:int"
 
 
-def one_per_strategy(responses: DataFrame) -> DataFrame:
-    """The response with the smallest id of each query and strategy; a query's group is then bounded."""
-    cols = [c for c in responses.columns if c not in ("query_id", "strategy")]
-    first = F.min_by(F.struct(*cols), "response_id")
-    return responses.where("query_id is not null and strategy is not null and response_id is not null").groupBy(
-        "query_id", "strategy").agg(first.alias("r")).select("query_id", "strategy", "r.*")
+def usable(responses: DataFrame) -> DataFrame:
+    """All responses with a query, a strategy and an id. `responses` has each id once."""
+    return responses.where("query_id is not null and strategy is not null and response_id is not null")
 
 
 def confidence(response: Column, relevances: Column, finished: Column) -> Column:
@@ -36,73 +36,134 @@ def weighted_score(conf: Column, relevances: Column) -> Column:
     return F.lit(0.7) * conf + F.lit(0.3) * mean
 
 
-def similar(a: str, b: str) -> bool:
+def beginning(text: str) -> frozenset[str]:
+    return frozenset(text[:50].lower().split())
+
+
+def alike(size: int, x: frozenset[str], head_size: int, y: frozenset[str]) -> bool:
     """Like length, and more than half of the words of the shorter beginning in common."""
-    if not b or not 0.7 <= len(a) / len(b) <= 1.3:
-        return False
-    x, y = set(a[:50].lower().split()), set(b[:50].lower().split())
-    return bool(x and y) and len(x & y) / min(len(x), len(y)) > 0.5
-
-
-def groups(texts: list[str]) -> list[list[int]]:
-    """Greedy grouping: each response joins the first group whose head it is similar to."""
-    out: list[list[int]] = []
-    for n, text in enumerate(texts):
-        for g in out:
-            if similar(text, texts[g[0]]):
-                g.append(n)
-                break
-        else:
-            out.append([n])
-    return out
-
-
-def _chosen(rows: list[dict], weighted: bool) -> dict:
-    if len(rows) == 1:
-        return {**rows[0], "votes": 1, "candidates": 1}
-    texts = [r["response"] or "" for r in rows]
-    if not weighted:
-        best = max(groups(texts), key=len)
-        pick = max(best, key=lambda n: rows[n]["confidence"] or 0.0)
-        return {**rows[pick], "votes": len(best), "candidates": len(rows)}
-    order = sorted(range(len(rows)), key=lambda n: -(rows[n]["score"] or 0.0))
-    top = order[:3]
-    found = [[top[i] for i in g] for g in groups([texts[n] for n in top])]
-    best = max(found, key=lambda g: sum(rows[n]["score"] or 0.0 for n in g))
-    pick = max(best, key=lambda n: rows[n]["confidence"] or 0.0)
-    return {**rows[pick], "confidence": max(r["score"] or 0.0 for r in rows), "votes": len(best), "candidates": len(rows)}
+    return bool(head_size and 0.7 <= size / head_size <= 1.3 and x and y) and len(x & y) / min(len(x), len(y)) > 0.5
+
+
+class Groups:
+    """Greedy grouping, one response after another: each joins the first group whose head it is similar to.
+
+    Only heads with a word in common are compared. Equal lengths and beginnings find the same head, as later
+    heads come after it.
+    """
+
+    def __init__(self) -> None:
+        self.count = 0
+        self.heads: dict[int, tuple[int, frozenset[str]]] = {}
+        self.by_word: dict[str, list[int]] = {}
+        self.known: dict[tuple[int, frozenset[str]], int] = {}
+
+    def place(self, text: str) -> int:
+        key = len(text), beginning(text)
+        g = self.known.get(key)
+        if g is None:
+            near = sorted(set().union(*(self.by_word.get(w, ()) for w in key[1])))
+            g = next((n for n in near if alike(*key, *self.heads[n])), self.count)
+            if g == self.count:
+                self.count += 1
+                self.heads.update({g: key} if key[1] else {})
+                for w in key[1]:
+                    self.by_word.setdefault(w, []).append(g)
+            if key[1]:
+                self.known[key] = g
+        return g
+
+
+class SimpleVote:
+    """Of the largest group (the first of equals) the response with the highest confidence."""
+
+    def __init__(self) -> None:
+        self.groups, self.votes, self.best, self.rows = Groups(), [], [], 0
+
+    def add(self, row: dict) -> None:
+        self.rows += 1
+        g = self.groups.place(row["response"] or "")
+        if g == len(self.votes):
+            self.votes.append(1)
+            self.best.append(row)
+            return
+        self.votes[g] += 1
+        if (row["confidence"] or 0.0) > (self.best[g]["confidence"] or 0.0):
+            self.best[g] = row
+
+    def result(self) -> dict:
+        g = max(range(len(self.votes)), key=self.votes.__getitem__)
+        return {**self.best[g], "votes": self.votes[g], "candidates": self.rows}
+
+
+class WeightedVote:
+    """Of the three responses with the highest score, the group with the highest sum; in it the highest confidence."""
+
+    def __init__(self) -> None:
+        self.top, self.rows = [], 0
+
+    def add(self, row: dict) -> None:
+        self.rows += 1
+        self.top = sorted([*self.top, row], key=lambda r: -(r["score"] or 0.0))[:3]  # stable: the first of equals stays ahead
+
+    def result(self) -> dict:
+        if self.rows == 1:
+            return {**self.top[0], "votes": 1, "candidates": 1}
+        groups, found = Groups(), {}
+        for row in self.top:
+            found.setdefault(groups.place(row["response"] or ""), []).append(row)
+        best = max(found.values(), key=lambda g: sum(r["score"] or 0.0 for r in g))
+        pick = max(best, key=lambda r: r["confidence"] or 0.0)
+        return {**pick, "confidence": self.top[0]["score"] or 0.0, "votes": len(best), "candidates": self.rows}
+
+
+def _fold(weighted: bool, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, state = None, None
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                if state is None or row["query_id"] != query:
+                    done += [state.result()] if state else []
+                    query, state = row["query_id"], WeightedVote() if weighted else SimpleVote()
+                state.add(row)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema)
+        if state:
+            yield pa.RecordBatch.from_pylist([state.result()], schema)
+
+    return run
 
 
 def vote(responses: DataFrame, weighted: bool = False) -> DataFrame:
-    """One row a query: the response that wins the vote. `responses` needs chunk relevances in `relevances`."""
-    @F.pandas_udf(_ONE[:-1] + ",votes:int,candidates:int>")
-    def choose(parts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_chosen([dict(r) for r in p], weighted) for p in parts], columns=[
-            "response_id", "query_id", "strategy", "response", "confidence", "generation_time", "score", "votes", "candidates"])
+    """One row a query: the response that wins the vote. `responses` needs chunk relevances in `relevances`.
 
-    scored = one_per_strategy(responses).withColumn("score", weighted_score(F.col("confidence"), F.col("relevances")))
-    per = scored.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
-        "strategy", "response_id", "query_id", "response", "confidence", "generation_time", "score"))).alias("rows"))
-    return per.select(choose(F.transform("rows", lambda r: F.struct(
-        r["response_id"].alias("response_id"), r["query_id"].alias("query_id"), r["strategy"].alias("strategy"), r["response"].alias("response"),
-        r["confidence"].alias("confidence"), r["generation_time"].alias("generation_time"), r["score"].alias("score")))).alias("v")).select("v.*")
+    The responses of a query pass one after another, by strategy and id. Kept are three responses (weighted), or one
+    response a group and the beginnings of the groups' heads.
+    """
+    text, number = pa.string(), pa.float64()
+    schema = pa.schema([("response_id", text), ("query_id", text), ("strategy", text), ("response", text), ("confidence", number),
+                        ("generation_time", number), ("score", number), ("votes", pa.int32()), ("candidates", pa.int32())])
+    scored = usable(responses).withColumn("score", weighted_score(F.col("confidence"), F.col("relevances")))
+    ordered = scored.select(*schema.names[:7]).repartition("query_id").sortWithinPartitions("query_id", "strategy", "response_id")
+    return ordered.mapInArrow(_fold(weighted, schema), _VOTED)
 
 
 def used_chunks(responses: DataFrame) -> DataFrame:
     """(query_id, ord, chunk fields): the chunks of all responses of a query in order."""
-    return one_per_strategy(responses).select("query_id", "strategy", F.posexplode("chunks_used").alias("pos", "c")).select(
-        "query_id", "strategy", "pos", "c.*")
+    return usable(responses).select("query_id", "strategy", "response_id", F.posexplode("chunks_used").alias("pos", "c")).select(
+        "query_id", "strategy", "response_id", "pos", "c.*")
 
 
 def unique_by_position(chunks: DataFrame) -> DataFrame:
     """The first chunk of each (document, start, end) of a query."""
-    w = Window.partitionBy("query_id", "document_id", "start_idx", "end_idx").orderBy("strategy", "pos")
+    w = Window.partitionBy("query_id", "document_id", "start_idx", "end_idx").orderBy("strategy", "response_id", "pos")
     return chunks.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
 
 def unique_by_id(chunks: DataFrame) -> DataFrame:
     """Each chunk id of a query once, with its highest relevance, best first in `rank`."""
-    w = Window.partitionBy("query_id", "id").orderBy(F.desc(F.coalesce("relevance_score", F.lit(0.0))), "strategy", "pos")
+    w = Window.partitionBy("query_id", "id").orderBy(F.desc(F.coalesce("relevance_score", F.lit(0.0))), "strategy", "response_id", "pos")
     once = chunks.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce("relevance_score", F.lit(0.0))), "id")
     return once.withColumn("rank", F.row_number().over(order))
@@ -139,9 +200,9 @@ def rerank(responses: DataFrame, method: str = "overlap") -> DataFrame:
 
 def fuse(responses: DataFrame, merged: DataFrame | None = None) -> DataFrame:
     """One row a query: the provider's merged text (query_id, text), or the most confident response where there is none."""
-    per = one_per_strategy(responses).groupBy("query_id").agg(
+    per = usable(responses).groupBy("query_id").agg(
         F.avg("confidence").alias("mean_confidence"), F.avg("generation_time").alias("generation_time"), F.count(F.lit(1)).alias("n"),
-        F.max_by(F.struct("response", "confidence", "strategy"), F.struct(F.coalesce("confidence", F.lit(0.0)), F.expr("-hash(strategy)"))).alias("best"))
+        F.min_by(F.struct("response", "confidence", "strategy"), F.struct(-F.coalesce("confidence", F.lit(0.0)), F.hash("strategy"), "response_id")).alias("best"))
     per = per.join(merged, "query_id", "left") if merged is not None else per.withColumn("text", F.lit(None).cast("string"))
     return per.select(
         "query_id", F.coalesce("text", "best.response").alias("response"),

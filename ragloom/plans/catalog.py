@@ -379,11 +379,11 @@ def fuse(spark, base):
 
 
 def _with_texts(spark, base):
-    one = ensembles.one_per_strategy(given(spark, base)).where("response is not null")
-    used = one.select("response_id", F.explode_outer("chunks_used").alias("c")).select("response_id", F.col("c.id").alias("chunk_id"))
+    every = ensembles.usable(given(spark, base)).where("response is not null")
+    used = every.select("response_id", F.explode_outer("chunks_used").alias("c")).select("response_id", F.col("c.id").alias("chunk_id"))
     texts = table(spark, base, "chunks").dropDuplicates(["chunk_id"]).select("chunk_id", "content")
     got = salted_join(used, texts, "chunk_id", F.xxhash64("response_id")).groupBy("response_id").agg(F.array_sort(F.collect_list("content")).alias("texts"))
-    return one.join(got, "response_id")
+    return every.join(got, "response_id")
 
 
 @query()

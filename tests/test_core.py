@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,40 @@ def test_votes(spark):
     assert ensembles.vote(df.limit(0)).count() == 0
 
 
+def test_ensembles_use_every_response_of_a_strategy(spark):
+    rows = [("r1", "q", "a", "first of its kind", 0.1, 1.0, []), ("r2", "q", "a", "the answer is ten days", 0.5, 1.0, []),
+            ("r3", "q", "a", "the answer is ten days!", 0.9, 3.0, [])]
+    df = spark.createDataFrame(rows, RESPONSE)
+    got = ensembles.vote(df).first()
+    assert (got["response_id"], got["votes"], got["candidates"]) == ("r3", 2, 3)
+    got = ensembles.vote(df, weighted=True).first()
+    assert (got["response_id"], got["candidates"]) == ("r3", 3)
+    got = ensembles.fuse(df).first()
+    assert (got["n"], got["confidence"], got["generation_time"]) == (3, 0.9, pytest.approx(5 / 3))
+    chunk = "struct<id:string,document_id:string,start_idx:int,end_idx:int,relevance_score:double>"
+    used = spark.createDataFrame([("r1", "q", "a", [("c1", "d", 0, 5, 0.2)]), ("r2", "q", "a", [("c1", "d", 0, 5, 0.7), ("c2", "d", 5, 9, 0.4)])],
+                                 f"response_id string, query_id string, strategy string, chunks_used array<{chunk}>")
+    chunks = ensembles.used_chunks(used)
+    assert ensembles.unique_by_position(chunks).count() == 2
+    assert [(r["id"], r["relevance_score"]) for r in ensembles.unique_by_id(chunks).orderBy("rank").collect()] == [("c1", 0.7), ("c2", 0.4)]
+    scored = df.withColumn("texts", F.array(F.lit("the answer is ten days!")))
+    assert ensembles.rerank(ensembles.usable(scored)).first()["response_id"] == "r3"
+
+
+def test_groups_join_the_first_similar_head():
+    pick = random.Random(5)
+    texts = ["", *(" ".join(pick.choices("abcdefgh", k=pick.randint(0, 5))) for _ in range(600))]
+    heads, expected = [], []
+    for text in texts:
+        key = len(text), ensembles.beginning(text)
+        g = next((n for n, head in enumerate(heads) if ensembles.alike(*key, *head)), len(heads))
+        if g == len(heads):
+            heads.append(key)
+        expected.append(g)
+    made = ensembles.Groups()
+    assert [made.place(t) for t in texts] == expected
+
+
 def test_confidence(spark):
     df = spark.createDataFrame([("x" * 30, [1.0, 0.5], True), ("short", [], False)], "response string, relevances array<double>, finished boolean")
     got = [r[0] for r in df.select(ensembles.confidence(F.col("response"), F.col("relevances"), F.col("finished"))).collect()]
