@@ -32,8 +32,6 @@ KEPT, LEAST_DICE, LEAST_COUNT = 8, 0.08, 2
 COVERED, OTHER_SIDE = 0.7, 0.2
 #: A table of up to this many rows is sent to all tasks; a larger one is joined by word.
 SENT_ROWS = 200_000
-#: Lines retrieved for a line, the strongest first; translations of a line are far fewer.
-RETRIEVED = 6
 NUMBER_WEIGHT, UNKNOWN_WEIGHT = 5.0, 3.0
 
 _TOKEN = re.compile(r"\d[\d,]*(?:\.\d+)?|[^\W\d_]+")
@@ -123,33 +121,20 @@ class Pair:
         return share(a, cover(a, self.right.full[j], self.table)), share(b, cover(b, self.left.full[i], self.back))
 
     def candidates(self) -> tuple[dict[int, set[int]], dict[int, set[int]]]:
-        """For both directions, through inverted indexes, the lines that share a translated word or a number."""
+        """For both directions, each through its own inverted index, all lines that share a translated word or a number."""
+        return self.retrieve(self.left, self.right, self.table), self.retrieve(self.right, self.left, self.back)
+
+    def retrieve(self, side: Side, other: Side, links: dict[str, dict[str, float]]) -> dict[int, set[int]]:
         index: dict = defaultdict(set)
-        for j, bag in enumerate(self.right.rest):
-            for kind, x in bag if self.has_rest(self.right, j) else ():
+        for j, bag in enumerate(other.rest):
+            for kind, x in bag if self.has_rest(other, j) else ():
                 index[(kind, int(x)) if kind == "n" else (kind, x)].add(j)
-        to_right: dict[int, set[int]] = defaultdict(set)
-        for i, bag in enumerate(self.left.rest):
-            if not self.has_rest(self.left, i):
-                continue
-            found: Counter = Counter()
-            for (kind, x), w in bag.items():
-                if kind == "n":
-                    for near in {int(x) - 1, int(x), int(x) + 1}:
-                        for j in index.get((kind, near), ()):
-                            found[j] += NUMBER_WEIGHT
-                else:
-                    for t, d in self.table.get(x, {}).items():
-                        for j in index.get((kind, t), ()):
-                            found[j] += w * d
-                    for j in index.get((kind, x), ()):
-                        found[j] += w
-            to_right[i] = {j for j, _ in found.most_common(RETRIEVED)}
-        to_left: dict[int, set[int]] = defaultdict(set)
-        for i, js in to_right.items():
-            for j in js:
-                to_left[j].add(i)
-        return to_right, to_left
+        found: dict[int, set[int]] = defaultdict(set)
+        for i, bag in enumerate(side.rest):
+            for kind, x in bag if self.has_rest(side, i) else ():
+                for near in (int(x) - 1, int(x), int(x) + 1) if kind == "n" else (x, *links.get(x, ())):
+                    found[i] |= index.get((kind, near), set())
+        return found
 
     def take(self, i: int, j: int) -> None:
         self.pairs.add((i, j))
@@ -169,8 +154,8 @@ class Pair:
 
     def best_both_ways(self) -> bool:
         to_right, to_left = self.candidates()
-        scores = {(i, j): math.sqrt(a * b) for i, js in to_right.items() for j in js
-                  for a, b in (self.score(i, j),)}
+        both = {(i, j) for i, js in to_right.items() for j in js} | {(i, j) for j, is_ in to_left.items() for i in is_}
+        scores = {(i, j): math.sqrt(a * b) for i, j in both for a, b in (self.score(i, j),)}
         right = {i: max(js, key=lambda j: (scores[i, j], -j)) for i, js in to_right.items() if js}
         left = {j: max(is_, key=lambda i: (scores[i, j], -i)) for j, is_ in to_left.items() if is_}
         new = [(i, j) for i, j in right.items() if left.get(j) == i and self.accepts(i, j)]

@@ -193,3 +193,11 @@ def test_cut_off_words(spark):
     got = {tuple(r) for r in defects.defects(defects.answer_pairs(queries, responses)).collect()}
     assert got == {("response", "cut1", "truncated"), ("response", "cut2", "truncated"), ("response", "null", "empty")}
     assert defects.defects(defects.answer_pairs(queries.limit(0), responses.limit(0))).count() == 0
+
+
+def test_alignment_scores_every_line_that_shares_something():
+    right = [f"9 11 21 19 gamma{i}" for i in range(8)] + ["alpha beta 10 20"]
+    side = [alignment.Side(t, "en", lambda w: 3.0) for t in ("alpha beta 10 20", "\n".join(right))]
+    pair = alignment.Pair(*side, {}, {})
+    assert pair.candidates() == ({0: set(range(9))}, {j: {0} for j in range(9)})
+    assert pair.align() == [(0, 8)]
