@@ -252,14 +252,23 @@ def translation_table(pairs: DataFrame, terms: list[tuple[str, str]]) -> DataFra
         "s", "t", "dice", weight("n_s").alias("weight_s"), weight("n_t").alias("weight_t"))
 
 
-def align_rows(left: str, right: str, left_lang: str | None, right_lang: str | None, rows) -> list[tuple[int, int]]:
-    table: dict[str, dict[str, float]] = defaultdict(dict)
-    weight: dict[str, float] = {}
+def tables_of(rows) -> tuple[dict, dict, dict, dict]:
+    """Links of words, the links back, and the weights of left and of right words, from (s, t, dice, weight_s, weight_t)."""
+    links: dict[str, dict[str, float]] = defaultdict(dict)
+    left: dict[str, float] = {}
+    right: dict[str, float] = {}
     for s, t, dice, ws, wt in rows:
-        table[s][t] = dice
-        weight[s], weight[t] = ws, wt
-    table = {s: strongest_first(to) for s, to in table.items()}
-    return _align(left, right, left_lang, right_lang, table, reverse(table), weight)
+        links[s][t] = dice
+        left[s], right[t] = ws, wt
+    links = {s: strongest_first(to) for s, to in links.items()}
+    return links, reverse(links), left, right
+
+
+def own_tables(words_found) -> tuple[dict, dict, dict, dict]:
+    """The same from the words of one pair of documents: (word, to, weight_s, weight_t)."""
+    links = {r["word"]: strongest_first({x["t"]: x["dice"] for x in r["to"]}) for r in words_found if r["to"] is not None}
+    return (links, reverse(links), {r["word"]: r["weight_s"] for r in words_found if r["weight_s"] is not None},
+            {r["word"]: r["weight_t"] for r in words_found if r["weight_t"] is not None})
 
 
 def reverse(table: dict[str, dict[str, float]]) -> dict[str, dict[str, float]]:
@@ -274,9 +283,11 @@ def strongest_first(to: dict[str, float]) -> dict[str, float]:
     return dict(sorted(to.items(), key=lambda x: (-x[1], x[0])))
 
 
-def _align(left, right, left_lang, right_lang, table, back, weight) -> list[tuple[int, int]]:
-    of = lambda w: weight.get(w, UNKNOWN_WEIGHT)
-    return Pair(Side(left, left_lang, of), Side(right, right_lang, of), table, back).align()
+def _align(left, right, left_lang, right_lang, table, back, left_weight, right_weight) -> list[tuple[int, int]]:
+    """A word has the weight of its side, that of the other side where it has none, else UNKNOWN_WEIGHT."""
+    of_left = lambda w: left_weight.get(w, right_weight.get(w, UNKNOWN_WEIGHT))
+    of_right = lambda w: right_weight.get(w, left_weight.get(w, UNKNOWN_WEIGHT))
+    return Pair(Side(left, left_lang, of_left), Side(right, right_lang, of_right), table, back).align()
 
 
 _FOUND = "array<struct<line_num:int,translation_line_num:int>>"
@@ -295,37 +306,29 @@ def align(pairs: DataFrame, terms: list[tuple[str, str]], sent_rows: int = SENT_
     pairs = durable(pairs)
     table = durable(translation_table(pairs, terms))
     if table.count() <= sent_rows:
-        rows = [tuple(r) for r in table.collect()]
-        learned: dict[str, dict[str, float]] = {}
-        weight: dict[str, float] = {}
-        for s, t, dice, ws, wt in rows:
-            learned.setdefault(s, {})[t] = dice
-            weight[s], weight[t] = ws, wt
-        learned = {s: strongest_first(to) for s, to in learned.items()}
-        shared = pairs.sparkSession.sparkContext.broadcast((learned, reverse(learned), weight))
+        shared = pairs.sparkSession.sparkContext.broadcast(tables_of(tuple(r) for r in table.collect()))
 
         @F.pandas_udf(_FOUND)
         def run(left: pd.Series, right: pd.Series, left_lang: pd.Series, right_lang: pd.Series) -> pd.Series:
-            known, back, weights = shared.value
-            return pd.Series([_as_structs(_align(a, b, x, y, known, back, weights)) for a, b, x, y in zip(left, right, left_lang, right_lang)])
+            return pd.Series([_as_structs(_align(a, b, x, y, *shared.value)) for a, b, x, y in zip(left, right, left_lang, right_lang)])
 
         found = pairs.select("left_id", "right_id", F.explode(run("left_text", "right_text", "left_lang", "right_lang")).alias("p"))
     else:
         @F.pandas_udf("array<string>")
-        def vocabulary(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: sorted(set(words(t, None)[0])))
+        def vocabulary(left: pd.Series, right: pd.Series) -> pd.Series:
+            return pd.Series([sorted({w for _, line in lines_of(a) + lines_of(b) for w in words(line, None)[0]}) for a, b in zip(left, right)])
 
-        by_word = table.groupBy("s").agg(F.collect_list(F.struct("t", "dice", "weight_s", "weight_t")).alias("to"))  # at most KEPT
-        used = pairs.select("left_id", "right_id", F.explode(vocabulary("left_text")).alias("s"))
-        own = salted_join(used, by_word, "s", F.xxhash64("right_id"), "inner").groupBy("left_id", "right_id").agg(
-            F.flatten(F.collect_list(F.transform("to", lambda x: F.struct(
-                F.col("s").alias("s"), x["t"].alias("t"), x["dice"].alias("dice"), x["weight_s"].alias("ws"), x["weight_t"].alias("wt"))))).alias("rows"))
+        linked = table.groupBy(F.col("s").alias("word")).agg(
+            F.collect_list(F.struct("t", "dice")).alias("to"), F.max("weight_s").alias("weight_s"))  # at most KEPT
+        heard = table.groupBy(F.col("t").alias("word")).agg(F.max("weight_t").alias("weight_t"))
+        used = pairs.select("left_id", "right_id", F.explode(vocabulary("left_text", "right_text")).alias("word"))
+        own = salted_join(used, linked.join(heard, "word", "full"), "word", F.xxhash64("right_id"), "inner").groupBy("left_id", "right_id").agg(
+            F.collect_list(F.struct("word", "to", "weight_s", "weight_t")).alias("rows"))
 
         @F.pandas_udf(_FOUND)
         def run_own(left: pd.Series, right: pd.Series, left_lang: pd.Series, right_lang: pd.Series, rows: pd.Series) -> pd.Series:
-            return pd.Series([
-                _as_structs(align_rows(a, b, x, y, [(r["s"], r["t"], r["dice"], r["ws"], r["wt"]) for r in (own_rows if own_rows is not None else [])]))
-                for a, b, x, y, own_rows in zip(left, right, left_lang, right_lang, rows)])
+            return pd.Series([_as_structs(_align(a, b, x, y, *own_tables(own_rows if own_rows is not None else [])))
+                              for a, b, x, y, own_rows in zip(left, right, left_lang, right_lang, rows)])
 
         found = pairs.join(own, ["left_id", "right_id"], "left").select(
             "left_id", "right_id", F.explode(run_own("left_text", "right_text", "left_lang", "right_lang", "rows")).alias("p"))

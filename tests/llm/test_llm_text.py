@@ -201,3 +201,15 @@ def test_alignment_scores_every_line_that_shares_something():
     pair = alignment.Pair(*side, {}, {})
     assert pair.candidates() == ({0: set(range(9))}, {j: {0} for j in range(9)})
     assert pair.align() == [(0, 8)]
+
+
+def test_alignment_joined_table_has_the_weights_of_all_words(spark, monkeypatch):
+    # The right line also says "t1 t2", common words (weight 0.3) without a link to this left document.
+    table = [("l1", "r1", 0.9, 3.0, 3.0), ("l2", "r2", 0.9, 3.0, 3.0), ("other", "t1", 0.9, 3.0, 0.3), ("other", "t2", 0.8, 3.0, 0.3)]
+    learned = spark.createDataFrame([(*(x.translate(str.maketrans("12", "xy")) for x in r[:2]), *r[2:]) for r in table],
+                                    "s string, t string, dice double, weight_s double, weight_t double")
+    monkeypatch.setattr(alignment, "translation_table", lambda pairs, terms: learned)
+    pairs = spark.createDataFrame([("a", "b", "lx ly unsaid unheard", "rx ry tx ty", "en", "kr"), ("c", "d", "lx ly", "rx ry tx ty", "en", "kr")],
+                                  "left_id string, right_id string, left_text string, right_text string, left_lang string, right_lang string")
+    sent, joined = ({tuple(r) for r in alignment.align(pairs, [], n).collect()} for n in (10, 0))
+    assert sent == joined == {("a", "b", 0, 0), ("c", "d", 0, 0)}
