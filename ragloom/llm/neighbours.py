@@ -1,8 +1,8 @@
 """The k most similar vectors of every vector, by multiprobe p-stable hashing.
 
 Every vector is sent once to each of a few hash tables. In a table, coarse p-stable functions place it in a group;
-a group with too many rows is divided by further functions, then by narrower ones, and at last by a salt, so no
-task ever holds a group that grows with the data. Within its group a vector visits its own bucket and the perturbed
+a group with too many rows is divided by further functions. A group that is too large under all functions is split
+into blocks and every two blocks meet, so all its rows meet and no task ever holds a group that grows with the data. Within its group a vector visits its own bucket and the perturbed
 buckets in the order of their estimated success, and all vectors met are ranked by their exact similarity. The
 lists of the tables are merged.
 
@@ -38,8 +38,8 @@ class Settings:
     seed: int = 11
 
 
-#: Coarse functions used at each level, and the divisor of their width; beyond the last level groups are salted.
-LEVELS = ((1, 1), (2, 1), (3, 1), (4, 1), (6, 1), (8, 1), (12, 1), (12, 4), (12, 32))
+#: Coarse functions used at each level; beyond the last level groups are joined in blocks.
+LEVELS = (1, 2, 3, 4, 6, 8, 12)
 
 
 def functions_of(table: int, dim: int, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,16 +64,16 @@ def unit_rows(values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 def level_keys(y: np.ndarray, b: np.ndarray, r: np.ndarray, s: Settings) -> np.ndarray:
     """Group key of every row at every level: (rows, levels)."""
     out = np.empty((len(y), len(LEVELS)), np.int64)
-    for j, (m, part) in enumerate(LEVELS):
-        cells = np.floor(y[:, :m] * np.float32(part / s.coarse_width) + b[:m]).astype(np.int64)
+    for j, m in enumerate(LEVELS):
+        cells = np.floor(y[:, :m] * np.float32(1 / s.coarse_width) + b[:m]).astype(np.int64)
         with np.errstate(over="ignore"):
             key = (cells * r[:m]).sum(axis=1) + j * 1_000_000_007
         out[:, j] = key ^ (key >> 29)
     return out
 
 
-def group_keys(keys: np.ndarray, hot: list[np.ndarray], salt: np.ndarray, group_rows: int) -> np.ndarray:
-    """The first key that isn't hot; rows whose last key is hot too are salted."""
+def group_keys(keys: np.ndarray, hot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The first key that isn't hot, and which rows have none: these keep their last key."""
     out = keys[:, -1].copy()
     todo = np.ones(len(keys), bool)
     for j in range(keys.shape[1]):
@@ -82,9 +82,17 @@ def group_keys(keys: np.ndarray, hot: list[np.ndarray], salt: np.ndarray, group_
         done = todo & ~still
         out[done] = keys[done, j]
         todo = still
-    with np.errstate(over="ignore"):
-        out[todo] += (salt[todo] + 1) * 2_654_435_761
-    return out
+    return out, todo
+
+
+def block_pairs(group: np.ndarray, blocks: np.ndarray, salt: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, group of two blocks): every row in its block together with each other block of its group."""
+    own = salt % blocks
+    for other in range(blocks.max(initial=0)):
+        at = np.flatnonzero((blocks > other) & (own != other))
+        low, high = np.minimum(own[at], other), np.maximum(own[at], other)
+        with np.errstate(over="ignore"):
+            yield at, group[at] + (low * 1_000_003 + high + 1) * 2_654_435_761
 
 
 def probe_sets(m: int, count: int) -> list[tuple[int, ...]]:
@@ -180,7 +188,7 @@ def _group_counts(vec_col: str, s: Settings):
     return run
 
 
-def _route(id_col: str, vec_col: str, hot, group_rows: int, s: Settings):
+def _route(id_col: str, vec_col: str, hot, s: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             at, x = unit_rows(batch[vec_col])
@@ -193,8 +201,11 @@ def _route(id_col: str, vec_col: str, hot, group_rows: int, s: Settings):
                 a, b, r = functions_of(t, x.shape[1], s)
                 keys = level_keys(x @ a[:, :s.coarse_functions], b[:s.coarse_functions], r, s)
                 lists = [hot.value.get((t, j), np.zeros(0, np.int64)) for j in range(len(LEVELS))]
-                yield pd.DataFrame({"t": np.int32(t), "g": group_keys(keys, lists, salt % hot.value["salts"], group_rows),
-                                    "id": ids, "vec": packed})
+                group, large = group_keys(keys, lists)
+                alone, split = np.flatnonzero(~large), np.flatnonzero(large)
+                blocks = hot.value["blocks"][t][np.searchsorted(lists[-1], group[split])] if len(split) else np.zeros(0, np.int64)
+                for at_, g in [(alone, group[alone])] + [(split[i], g) for i, g in block_pairs(group[split], blocks, salt[split])]:
+                    yield pd.DataFrame({"t": np.int32(t), "g": g, "id": ids[at_], "vec": [packed[i] for i in at_]})
 
     return run
 
@@ -204,7 +215,7 @@ def _search(s: Settings):
         parts = list(batches)
         if not parts:
             return
-        rows = pd.concat(parts, ignore_index=True).drop_duplicates(["t", "id"]).sort_values("id", ignore_index=True)
+        rows = pd.concat(parts, ignore_index=True).drop_duplicates(["t", "g", "id"]).sort_values("id", ignore_index=True)
         parts.clear()
         if not len(rows):
             return
@@ -233,14 +244,17 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, s: Settings = Settings(),
              .groupBy("t", "level", "key").agg(F.sum("n").alias("n")).where(F.col("n") > group_rows)
              .select("t", "level", "key", "n").toPandas())
     hot = {(int(t), int(j)): np.sort(part["key"].to_numpy()) for (t, j), part in found.groupby(["t", "level"])}
-    last = found[found["level"] == len(LEVELS) - 1]["n"]
-    hot["salts"] = max(1, int(-(-last.max() // group_rows)) if len(last) else 1)
+    last = found[found["level"] == len(LEVELS) - 1].sort_values("key")
+    # Two blocks have about as many rows as a group; at least two, so that every row meets all others.
+    last = last.assign(blocks=np.maximum(2, -(-last["n"].to_numpy() * 2 // group_rows)).astype(np.int64))
+    hot["blocks"] = {int(t): part["blocks"].to_numpy() for t, part in last.groupby("t")}
     shared = spark.sparkContext.broadcast(hot)
-    parts = partitions or max(8, -(-rows * s.tables // 40_000))
-    routed = base.mapInPandas(_route("id", "vec", shared, group_rows, s), "t int, g bigint, id string, vec binary")
+    routed_rows = rows * s.tables + int((last["n"] * (last["blocks"] - 2)).sum())
+    parts = partitions or max(8, -(-routed_rows // 40_000))
+    routed = base.mapInPandas(_route("id", "vec", shared, s), "t int, g bigint, id string, vec binary")
     lists = routed.repartition(parts, "t", "g").mapInPandas(_search(s), "id string, others array<string>, sims array<float>")
     pairs = lists.select("id", F.arrays_zip("others", "sims").alias("p"))
-    merged = pairs.groupBy("id").agg(F.flatten(F.collect_list("p")).alias("p"))  # at most tables * k entries
+    merged = pairs.groupBy("id").agg(F.flatten(F.collect_list("p")).alias("p"))  # at most k entries a table and block
     ranked = F.slice(F.array_sort(F.array_distinct(F.transform(
         "p", lambda p: F.struct((-p["sims"]).alias("d"), p["others"].alias("other"))))), 1, 4 * s.k)
     # One other can come with similarities that differ in the last bit; the nearest of each is kept.

@@ -46,6 +46,18 @@ def test_neighbours_hot_and_small(spark):
     assert neighbours.nearest(same.limit(0), "chunk_id", "embedding").count() == 0
 
 
+def test_neighbours_in_one_tight_cluster(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1800, 16))
+    x[:600] = x[0] / np.linalg.norm(x[0]) + 0.01 * rng.standard_normal((600, 16))
+    df = spark.createDataFrame([(f"c{i:04d}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, embedding array<float>")
+    near = defaultdict(set)
+    for r in neighbours.nearest(df, "chunk_id", "embedding", neighbours.Settings(group_rows=40), partitions=4).collect():
+        near[r["id"]].add(int(r["other"][1:]))
+    recall = np.mean([len(near[f"c{i:04d}"] & t) / 5 for i, t in enumerate(brute(x)[:600])])
+    assert recall >= 0.95, recall
+
+
 def test_probes_are_valid_and_ordered():
     sets = neighbours.probe_sets(8, 60)
     assert len(sets) == len(set(sets)) == 60 and sets[0] == (1,)
