@@ -120,18 +120,42 @@ def chunk_hash(document_id: Column, start: Column, end: Column, content: Column)
     return F.substring(F.sha2(F.concat_ws(":", document_id, start.cast("string"), end.cast("string"), content), 256), 1, 16)
 
 
-def prompt(kind: str, content: Column, query: Column | None = None, limit: int = 10_000) -> Column:
-    """Request texts for completion providers; the content is cut at the limit."""
-    asks = {
-        "semantic": "Split the text into coherent passages. Reply with JSON: chunks with content, start_idx, end_idx, topic, keywords.",
-        "keyword": "Describe the text. Reply with JSON: title, summary, key_points, meta_info with entities, topics, keywords.",
-        "query_analysis": "Describe the question. Reply with JSON: question_type, key_entities, keywords, required_info, complexity.",
-        "query_aware": "Extract the passages that help to answer the question, with relevance scores. Reply with JSON.",
-        "answer": "Answer the question from the passages only. Say so if they hold no answer.",
-        "fusion": "Merge the answers into one that is complete and free of contradictions.",
-        "translate": "Translate the text. Keep numbers and names.",
-    }
-    head = [F.lit(asks[kind] + "\n\n")]
+#: Requests for completion providers, by kind and language.
+REQUESTS = {
+    "semantic": ("Split the text into coherent passages. Reply with JSON: chunks with content, start_idx, end_idx, topic, keywords.",
+                 "글을 뜻이 이어지는 단락으로 나누세요. JSON으로 답하세요: chunks에 content, start_idx, end_idx, topic, keywords."),
+    "semantic_query": ("Split the text into coherent passages and judge how each helps with the question. Reply with JSON: chunks with content, start_idx, end_idx, topic, relevance_score, reason.",
+                       "글을 단락으로 나누고 질문에 얼마나 도움이 되는지 평가하세요. JSON으로 답하세요: chunks에 content, start_idx, end_idx, topic, relevance_score, reason."),
+    "keyword": ("Describe the text. Reply with JSON: title, summary, key_points, meta_info with entities, topics, keywords.",
+                "글을 설명하세요. JSON으로 답하세요: title, summary, key_points, meta_info에 entities, topics, keywords."),
+    "keyword_query": ("Describe what the text says about the question. Reply with JSON: title, summary, key_points, meta_info with entities, topics, keywords.",
+                      "글이 질문에 대해 말하는 것을 설명하세요. JSON으로 답하세요: title, summary, key_points, meta_info에 entities, topics, keywords."),
+    "query_analysis": ("Describe the question. Reply with JSON: question_type, key_entities, keywords, required_info, complexity.",
+                       "질문을 설명하세요. JSON으로 답하세요: question_type, key_entities, keywords, required_info, complexity."),
+    "query_aware": ("Extract the passages that help to answer the question. Reply with JSON: chunks with content, start_idx, end_idx, relevance_score, relevance_reason, answer_contribution, keywords; coverage.",
+                    "질문에 답하는 데 도움이 되는 단락을 뽑으세요. JSON으로 답하세요: chunks에 content, start_idx, end_idx, relevance_score, relevance_reason, answer_contribution, keywords; coverage."),
+    "answer": ("Answer the question from the passages only. Say so if they hold no answer.", "단락에 있는 내용만으로 질문에 답하세요. 답이 없으면 없다고 하세요."),
+    "fusion": ("Merge the answers into one that is complete and free of contradictions.", "여러 답을 빠짐없고 모순 없는 하나의 답으로 합치세요."),
+    "translate": ("Translate the text. Keep numbers and names.", "글을 번역하세요. 숫자와 이름은 그대로 두세요."),
+}
+#: Kinds whose cut contents end with an ellipsis.
+ELLIPSIS = ("keyword", "keyword_query")
+
+
+def prompt(kind: str, content: Column, query: Column | None = None, language: Column | None = None, limit: int = 10_000) -> Column:
+    """The request of a kind in the language of the text; the content is cut at the limit."""
+    english, korean = REQUESTS[kind]
+    ask = F.lit(english) if language is None else F.when(is_korean(language), korean).otherwise(english)
+    head = [ask, F.lit("\n\n")]
     if query is not None:
-        head += [F.lit("Question: "), query, F.lit("\n\n")]
-    return F.concat(*head, F.substring(content, 1, limit))
+        label = F.lit("Question: ") if language is None else F.when(is_korean(language), "질문: ").otherwise("Question: ")
+        head += [label, query, F.lit("\n\n")]
+    cut = F.substring(content, 1, limit)
+    return F.concat(*head, F.when(F.length(content) > limit, F.concat(cut, F.lit("..."))).otherwise(cut) if kind in ELLIPSIS else cut)
+
+
+def answer_prompt(question: Column, context: Column, language: Column) -> Column:
+    """The request for an answer from all of the numbered passages."""
+    english, korean = REQUESTS["answer"]
+    kr = is_korean(language)
+    return F.concat(F.when(kr, korean).otherwise(english), F.lit("\n\n"), context, F.lit("\n\n"), F.when(kr, "질문: ").otherwise("Question: "), question)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -202,9 +202,36 @@ def fuse(responses: DataFrame, merged: DataFrame | None = None) -> DataFrame:
     """One row a query: the provider's merged text (query_id, text), or the most confident response where there is none."""
     per = usable(responses).groupBy("query_id").agg(
         F.avg("confidence").alias("mean_confidence"), F.avg("generation_time").alias("generation_time"), F.count(F.lit(1)).alias("n"),
-        F.min_by(F.struct("response", "confidence", "strategy"), F.struct(-F.coalesce("confidence", F.lit(0.0)), F.hash("strategy"), "response_id")).alias("best"))
+        F.min_by(F.struct("response", "confidence", "strategy"), F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), "strategy", "response_id")).alias("best"))
     per = per.join(merged, "query_id", "left") if merged is not None else per.withColumn("text", F.lit(None).cast("string"))
     return per.select(
         "query_id", F.coalesce("text", "best.response").alias("response"),
         F.when(F.col("text").isNotNull(), F.least(F.lit(0.95), F.lit(1.1) * F.col("mean_confidence"))).otherwise(F.col("best.confidence")).alias("confidence"),
         F.when(F.col("text").isNotNull(), F.lit("fusion")).otherwise(F.col("best.strategy")).alias("strategy"), "generation_time", "n")
+
+
+def fusion_prompts(responses: DataFrame, limit: int = 10_000) -> DataFrame:
+    """(query_id, request, responses, n): the responses of each query by strategy and numbered, as a fusion provider gets them.
+
+    A request takes the responses that begin within its next `limit` characters, so no request grows with the query; answers
+    to several requests of a query are fused again. Null responses are left out.
+    """
+    known = usable(responses).where("response is not null").select("query_id", "strategy", "response_id", "response")
+    number = F.row_number().over(Window.partitionBy("query_id", "strategy").orderBy("response_id"))
+    nth = Window.partitionBy("query_id").orderBy("strategy", "response_id")
+    # The head of each response.
+    part = F.concat(F.lit("["), "strategy", F.lit(" 전략 응답 "), number.cast("string"), F.lit("]\n"), "response")
+    parts = known.select("query_id", "strategy", "response_id", part.alias("part"))
+    before = F.sum(F.length("part") + 2).over(nth.rowsBetween(Window.unboundedPreceding, 0)) - F.length("part") - 2
+    placed = parts.select("query_id", "part", F.row_number().over(nth).alias("nth"), F.floor(before / limit).alias("request"))
+    return placed.groupBy("query_id", "request").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "part"))), lambda x: x["part"]), "\n\n").alias("responses"), F.count(F.lit(1)).alias("n"))
+
+
+#: Ensembles by name: functions from the responses of all queries to one row a query.
+ENSEMBLES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "voting": vote, "weighted_voting": lambda responses: vote(responses, weighted=True), "reranking": rerank, "fusion": fuse}
+
+
+def register(name: str, ensemble: Callable[[DataFrame], DataFrame]) -> None:
+    ENSEMBLES[name] = ensemble

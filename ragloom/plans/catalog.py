@@ -2,73 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ragloom.functions import text, vectors
-from ragloom.operators import chunkers, embedding, ensembles, evaluation, retrieval
+from ragloom.operators import chunkers, embedding, evaluation, retrieval
 from ragloom.operators import statistics as st
 from ragloom.operators.skew import salted_join
 from ragloom.plans import pipeline
+from ragloom.plans.registry import BLANKS, DOCS, NORM, QUERIES, SENT, SQL, TRIM, WORDS, asked, documents, given, query, searched
 from ragloom.sources import loaders, store
 from ragloom.sources.tables import table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def documents(spark, base):
-    return table(spark, base, "rag_documents").select("document_id", "content", "language")
-
-
-def asked(spark, base):
-    """Each question once."""
-    return table(spark, base, "queries").where("query_id is not null").dropDuplicates(["query_id"])
-
-
-def given(spark, base):
-    """Each response once, with the relevances of its chunks."""
-    r = table(spark, base, "responses").dropDuplicates(["response_id"])
-    return r.withColumn("relevances", F.coalesce(F.transform("chunks_used", lambda c: c["relevance_score"]), F.array().cast("array<double>")))
-
-
-def searched(spark, base):
-    """The stated query set: every question whose number is divisible by 50."""
-    return asked(spark, base).where(F.substring("query_id", 2, 20).cast("bigint") % 50 == 0)
-
-
-# ---- SQL building blocks -------------------------------------------------------------------------------------------
-_B = r"[\s\p{Z}\x1c-\x1f\x85]"
-_TRIM = lambda x: f"regexp_replace({x}, '^{_B}+|{_B}+$', '', 'g')"
-_WORDS = lambda x: f"list_filter(string_split_regex({x}, '{_B}+'), lambda w: w <> '')"
-_DOCS = "select document_id, content, language, length(content) n from rag_documents where content is not null"
-_SENT = (f"list_filter(list_transform(case when coalesce(language in ('kr','ko'), false) then string_split_regex(content, '[.!?]+\\s*') else "
-         f"string_split(regexp_replace(content, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) end, lambda s: {_TRIM('s')}), lambda s: s <> '')")
-_WIDE = lambda x: f"replace(translate({x}, '，．：；！？（）％', ',.:;!?()%'), '…', '...')"
-_COMMA = lambda x: f"regexp_replace({x}, '(\\d),(\\d{{3}})([^\\p{{L}}\\p{{N}}_]|$)', '\\1\\2\\3', 'g')"
-_NORM = lambda x: f"trim(regexp_replace(replace({_COMMA(_COMMA(f'lower({_WIDE(x)})'))}, '%', ' percent'), '{_B}+', ' ', 'g'))"
 FIXED = rf"""
 fixed_windows as (
   select d.document_id, d.content, d.n, i, least(i + 512, d.n) stop, substr(d.content, i + 1, 512) w
-  from ({_DOCS}) d, unnest(case when d.n <= 512 then [0] else range(0, d.n, 461) end) as u(i)),
+  from ({DOCS}) d, unnest(case when d.n <= 512 then [0] else range(0, d.n, 461) end) as u(i)),
 fixed_tail as (select document_id, min(i) m from fixed_windows where i > 0 and i + 512 >= n and n - i < 153.6 group by 1),
 fixed_kept as (
   select f.*, t.m, row_number() over (partition by f.document_id order by i) - 1 seq, row_number() over (partition by f.document_id order by i desc) back
   from fixed_windows f left join fixed_tail t using (document_id)
-  where n <= 512 or ((m is null or i < m) and not regexp_matches(w, '^{_B}*$'))),
+  where n <= 512 or ((m is null or i < m) and not regexp_matches(w, '^{BLANKS}*$'))),
 fixed_cut as (
-  select *, case when n <= 512 or stop >= n or regexp_matches(w, '[.!?다요음]{_B}*$') or length(regexp_extract(right(w, 100), '(?s)^(.*[.!?])', 1)) = 0 then stop
+  select *, case when n <= 512 or stop >= n or regexp_matches(w, '[.!?다요음]{BLANKS}*$') or length(regexp_extract(right(w, 100), '(?s)^(.*[.!?])', 1)) = 0 then stop
     else stop - length(right(w, 100)) + length(regexp_extract(right(w, 100), '(?s)^(.*[.!?])', 1)) end cut from fixed_kept),
 fixed_size as (
   select document_id || '_fixed_size_' || seq chunk_id, document_id, 'fixed_size' strategy, cast(seq as int) sequence_num, cast(i as int) start_idx,
@@ -79,11 +34,11 @@ fixed_size as (
     coalesce(n > 512 and not (m is not null and back = 1) and cut < stop, false) adjusted from fixed_cut)"""
 RECURSIVE = rf"""
 recursive_windows as (
-  select d.document_id, i, substr(d.content, i + 1, 512) w from ({_DOCS}) d, unnest(range(0, d.n, 462)) as u(i)),
+  select d.document_id, i, substr(d.content, i + 1, 512) w from ({DOCS}) d, unnest(range(0, d.n, 462)) as u(i)),
 recursive_chunks as (
   select document_id || '_recursive_' || seq chunk_id, document_id, 'recursive' strategy, cast(seq as int) sequence_num, cast(i as int) start_idx,
     cast(i + length(w) as int) end_idx, w content
-  from (select *, row_number() over (partition by document_id order by i) - 1 seq from recursive_windows where length({_TRIM('w')}) > 10))"""
+  from (select *, row_number() over (partition by document_id order by i) - 1 seq from recursive_windows where length({TRIM('w')}) > 10))"""
 _COLS = "chunk_id, document_id, strategy, sequence_num, start_idx, end_idx, content"
 
 
@@ -98,7 +53,7 @@ def chunk_recursive(spark, base):
     return chunkers.recursive(documents(spark, base))
 
 
-@query(rf"""with d as (select *, {_SENT} s, coalesce(language in ('kr','ko'), false) kr from ({_DOCS})),
+@query(rf"""with d as (select *, {SENT} s, coalesce(language in ('kr','ko'), false) kr from ({DOCS})),
 e as (select document_id, kr, content, case when len(s) > 0 then s[1][1:100] when kr then '제목 없음' else 'No Title' end title,
   case when len(s) > 3 then list_aggregate(s[1:3], 'string_agg', ' ')[1:300] else content[1:300] end summary, list_transform(s[1:3], lambda p: p[1:100]) points from d),
 p as (
@@ -113,7 +68,7 @@ def chunk_keyword(spark, base):
     return chunkers.keyword_fallback(documents(spark, base))
 
 
-@query(rf"""with d as (select *, case when n > 512 and n % 512 between 1 and 256 then n // 512 else ceil(n / 512)::bigint end parts from ({_DOCS})),
+@query(rf"""with d as (select *, case when n > 512 and n % 512 between 1 and 256 then n // 512 else ceil(n / 512)::bigint end parts from ({DOCS})),
 p as (select d.*, k from d, unnest(range(0, parts)) as u(k)),
 q as (select document_id, k, k * 512 a, case when k = parts - 1 then n else (k + 1) * 512 end b, content from p)
 select document_id || '_query_aware_' || k chunk_id, document_id, 'query_aware' strategy, cast(k as int) sequence_num, cast(a as int) start_idx, cast(b as int) end_idx,
@@ -132,7 +87,7 @@ def chunk_text_similarity(spark, base):
     return chunkers.text_similarity(documents(spark, base))
 
 
-@query(rf"""with d as (select document_id, {_SENT} s from ({_DOCS}))
+@query(rf"""with d as (select document_id, {SENT} s from ({DOCS}))
 select document_id, cast(k as int) "number", list_aggregate(s[3 * k + 1:3 * k + 3], 'string_agg', ' ') "text" from d, unnest(range(0, ((len(s) + 2) // 3)::bigint)) as u(k)""")
 def sentence_groups(spark, base):
     return chunkers.sentence_groups(documents(spark, base))
@@ -188,24 +143,24 @@ def chunk_hash(spark, base):
 
 
 # ---- text ----------------------------------------------------------------------------------------------------------
-@query(f"select document_id, cast(k as int) position, s[k] sentence from (select document_id, {_SENT} s from ({_DOCS})), unnest(range(1, len(s) + 1)) as u(k)")
+@query(f"select document_id, cast(k as int) position, s[k] sentence from (select document_id, {SENT} s from ({DOCS})), unnest(range(1, len(s) + 1)) as u(k)")
 def sentence_split(spark, base):
     d = documents(spark, base).where("content is not null")
     return d.select("document_id", F.posexplode(text.sentences(F.col("content"), F.col("language"))).alias("p", "sentence")).select("document_id", (F.col("p") + 1).alias("position"), "sentence")
 
 
-@query(f"select document_id, cast(len({_WORDS('content')}) as int) words from rag_documents where content is not null")
+@query(f"select document_id, cast(len({WORDS('content')}) as int) words from rag_documents where content is not null")
 def word_count(spark, base):
     return documents(spark, base).where("content is not null").select("document_id", text.word_count(F.col("content")).alias("words"))
 
 
-@query(f"select distinct query_id, coalesce({_NORM('expected_answer')}, '') answer from queries")
+@query(f"select distinct query_id, coalesce({NORM('expected_answer')}, '') answer from queries")
 def normalise_text(spark, base):
     return asked(spark, base).select("query_id", text.normalise(F.col("expected_answer")).alias("answer"))
 
 
-@query(f"""with q as (select distinct query_id, context_id, {_NORM('expected_answer')} a from queries)
-select query_id, coalesce(a <> '' and {_NORM('content')} <> '' and contains({_NORM('content')}, a), false) found from q join rag_documents d on d.document_id = q.context_id""")
+@query(f"""with q as (select distinct query_id, context_id, {NORM('expected_answer')} a from queries)
+select query_id, coalesce(a <> '' and {NORM('content')} <> '' and contains({NORM('content')}, a), false) found from q join rag_documents d on d.document_id = q.context_id""")
 def contains_answer(spark, base):
     q = asked(spark, base).select("query_id", F.col("context_id").alias("document_id"), text.normalise(F.col("expected_answer")).alias("answer"))
     j = salted_join(q, documents(spark, base).select("document_id", "content"), "document_id", F.xxhash64("query_id"), "inner")
@@ -213,7 +168,7 @@ def contains_answer(spark, base):
 
 
 @query(f"""with q as (select distinct query_id, question, expected_answer from queries where question is not null and expected_answer is not null),
-w as (select query_id, list_distinct({_WORDS('lower(question)')}) a, list_distinct({_WORDS('lower(expected_answer)')}) b from q)
+w as (select query_id, list_distinct({WORDS('lower(question)')}) a, list_distinct({WORDS('lower(expected_answer)')}) b from q)
 select query_id, cast(len(list_intersect(a, b)) as int) shared, cast(len(a) as int) question_words from w""")
 def word_overlap(spark, base):
     q = asked(spark, base).where("question is not null and expected_answer is not null")
@@ -231,7 +186,7 @@ def rouge_l(spark, base):
     return asked(spark, base).select("query_id", F.round(text.rouge_l_score(F.col("question"), F.col("expected_answer")), 6).alias("rouge"))
 
 
-@query(f"select distinct query_id, {_WORDS('question')}[1:5] keywords from queries where question is not null")
+@query(f"select distinct query_id, {WORDS('question')}[1:5] keywords from queries where question is not null")
 def query_keywords(spark, base):
     return asked(spark, base).where("question is not null").select("query_id", chunkers.query_keywords(F.col("question")).alias("keywords"))
 
@@ -311,7 +266,7 @@ cn as (select chunk_id, sum(n * n) s from ct group by 1), qn as (select query_id
 dp as (select query_id, chunk_id, sum(ct.n * qt.n) d from ct join qt using (b) group by 1, 2),
 sc as (select q.query_id, ch.strategy, ch.chunk_id, round(coalesce(d / sqrt(qn.s::double * cn.s::double), 0), 9) score from q cross join ch left join dp using (query_id, chunk_id) left join qn using (query_id) left join cn using (chunk_id)),
 rk as (select *, row_number() over (partition by query_id, strategy order by score desc, chunk_id) rank from sc),
-jj as (select rk.query_id, rk.strategy, rk.rank, coalesce({_NORM('q.answer')} <> '' and contains({_NORM('ch.content')}, {_NORM('q.answer')}), false)::int rel from rk join q using (query_id) join ch using (chunk_id) where rk.rank <= 5)"""
+jj as (select rk.query_id, rk.strategy, rk.rank, coalesce({NORM('q.answer')} <> '' and contains({NORM('ch.content')}, {NORM('q.answer')}), false)::int rel from rk join q using (query_id) join ch using (chunk_id) where rk.rank <= 5)"""
 
 
 @query(SUMMARY + """, c as (select query_id, strategy, rank, rel, k, sum(rel) over (partition by query_id, strategy, k order by rank) so_far from jj, (values (1), (3), (5)) v(k) where rank <= k),
@@ -330,72 +285,6 @@ def all_strategies(spark, base):
     return pipeline.best_by(results.where("k = 5"), "mrr")
 
 
-# ---- responses -----------------------------------------------------------------------------------------------------
-_GIVEN = "select distinct on (response_id) *, coalesce(list_transform(chunks_used, lambda c: c.relevance_score), []) rel from responses where response_id is not null"
-
-
-@query(f"""select response_id, round(least(greatest((case when length(response) < 20 then 0.7::double when length(response) > 1000 then 0.9::double else 1.0::double end)
-* (case when len(rel) = 0 then 0.5::double when len(rel) = 1 then 0.8::double else 1.0::double end) * coalesce(list_avg(list_transform(rel, lambda x: coalesce(x, 1.0::double))), 1.0::double), 0.0::double), 1.0::double), 6) confidence
-from ({_GIVEN}) where response is not null""")
-def response_confidence(spark, base):
-    r = given(spark, base).where("response_id is not null and response is not null")
-    return r.select("response_id", F.round(ensembles.confidence(F.col("response"), F.col("relevances"), F.lit(True)), 6).alias("confidence"))
-
-
-@query(f"select response_id, round(0.7::double * confidence + 0.3::double * coalesce(list_avg(list_transform(rel, lambda x: coalesce(x, 0.5::double))), 0.5::double), 6) score from ({_GIVEN})")
-def response_scores(spark, base):
-    return given(spark, base).where("response_id is not null").select("response_id", F.round(ensembles.weighted_score(F.col("confidence"), F.col("relevances")), 6).alias("score"))
-
-
-@query()
-def vote_simple(spark, base):
-    return ensembles.vote(given(spark, base)).select("query_id", "response_id", "votes", "candidates")
-
-
-@query()
-def vote_weighted(spark, base):
-    return ensembles.vote(given(spark, base), weighted=True).select("query_id", "response_id", F.round("confidence", 6).alias("confidence"), "votes", "candidates")
-
-
-_ONE = "one as (select * from (select *, row_number() over (partition by query_id, strategy order by response_id) nth from (select distinct on (response_id) * from responses where response_id is not null) where query_id is not null and strategy is not null) where nth = 1)"
-_USED = f"{_ONE}, used as (select query_id, strategy, k - 1 pos, chunks_used[k] c from one, unnest(range(1, coalesce(len(chunks_used), 0) + 1)) as u(k))"
-
-
-@query(f"""with {_USED} select query_id, c.document_id document_id, c.start_idx start_idx, c.end_idx end_idx, strategy from used
-qualify row_number() over (partition by query_id, c.document_id, c.start_idx, c.end_idx order by strategy, pos) = 1""")
-def dedupe_chunks(spark, base):
-    return ensembles.unique_by_position(ensembles.used_chunks(given(spark, base))).select("query_id", "document_id", "start_idx", "end_idx", "strategy")
-
-
-@query(f"""with {_USED}, o as (select query_id, c.id id, c.relevance_score relevance_score from used qualify row_number() over (partition by query_id, c.id order by coalesce(c.relevance_score, 0) desc, strategy, pos) = 1)
-select *, cast(row_number() over (partition by query_id order by coalesce(relevance_score, 0) desc, id) as int) rank from o""")
-def fusion_chunks(spark, base):
-    return ensembles.unique_by_id(ensembles.used_chunks(given(spark, base))).select("query_id", "id", "relevance_score", "rank")
-
-
-@query()
-def fuse(spark, base):
-    return ensembles.fuse(given(spark, base))
-
-
-def _with_texts(spark, base):
-    every = ensembles.usable(given(spark, base)).where("response is not null")
-    used = every.select("response_id", F.explode_outer("chunks_used").alias("c")).select("response_id", F.col("c.id").alias("chunk_id"))
-    texts = table(spark, base, "chunks").dropDuplicates(["chunk_id"]).select("chunk_id", "content")
-    got = salted_join(used, texts, "chunk_id", F.xxhash64("response_id")).groupBy("response_id").agg(F.array_sort(F.collect_list("content")).alias("texts"))
-    return every.join(got, "response_id")
-
-
-@query()
-def rerank_overlap(spark, base):
-    return ensembles.rerank(_with_texts(spark, base), "overlap").select("query_id", "response_id", "strategy", F.round("score", 6).alias("score"))
-
-
-@query()
-def rerank_rouge(spark, base):
-    return ensembles.rerank(_with_texts(spark, base), "rouge").select("query_id", "response_id", "strategy", F.round("score", 6).alias("score"))
-
-
 # ---- statistics ----------------------------------------------------------------------------------------------------
 def results(spark, base):
     """(strategy, language, value): mean confidence of the responses."""
@@ -479,7 +368,7 @@ def e2e_summary(spark, base):
     return pipeline.improvement(per, "auroc")
 
 
-@query(f"""select document_id, round(len({_WORDS('content')}) / 1000.0::double * 0.005::double + len({_WORDS('content')}) / 1000.0::double * 0.00013::double, 9) cost from rag_documents where content is not null""")
+@query(f"""select document_id, round(len({WORDS('content')}) / 1000.0::double * 0.005::double + len({WORDS('content')}) / 1000.0::double * 0.00013::double, 9) cost from rag_documents where content is not null""")
 def cost_estimate(spark, base):
     n = text.word_count(F.col("content"))
     return documents(spark, base).where("content is not null").select("document_id", F.round(pipeline.cost(n, F.lit(0), n), 9).alias("cost"))
@@ -519,3 +408,6 @@ def squad_flatten(spark, base):
     qa = F.struct(F.col("query_id").alias("id"), "question", F.array(F.struct(F.col("expected_answer").alias("text"))).alias("answers"))
     nested = asked(spark, base).join(d, "context_id").select(F.array(F.struct("title", F.array(F.struct("context", F.array(qa).alias("qas"))).alias("paragraphs"))).alias("data"))
     return loaders.squad(nested)
+
+
+from ragloom.plans import catalog_responses  # noqa: E402, F401  (registers its queries)
