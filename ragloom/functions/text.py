@@ -106,7 +106,7 @@ def rouge_l_score(reference: pd.Series, candidate: pd.Series) -> pd.Series:
 
 def retry_after_ms(message: Column) -> Column:
     """Milliseconds a rate-limit message asks to wait; null without one."""
-    found = F.regexp_extract(message, r"Try again in (\d+)ms", 1)
+    found = F.regexp_extract(message, r"Try again in\s+(\d+)ms", 1)
     return F.when(found != "", found.cast("int"))
 
 

@@ -123,11 +123,17 @@ def semantic_fallback(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 _REPLY = ("struct<chunks:array<struct<content:string,start_idx:string,end_idx:string,topic:string,keywords:array<string>,"
-          "relevance_score:string,reason:string>>>")
+          "relevance_score:string,reason:string,relevance_reason:string,answer_contribution:string>>,coverage:string>")
+
+
+def readable(reply: Column) -> Column:
+    """Whether a provider's reply is a JSON object with at least one field; false for null."""
+    body = F.trim(F.coalesce(reply, F.lit("")))
+    return body.startswith("{") & F.try_parse_json(body).isNotNull() & ~body.rlike(r"^\{\s*\}$")
 
 
 def from_reply(replies: DataFrame, strategy: str = "semantic") -> DataFrame:
-    """Chunks of provider replies (document_id, reply JSON): empty contents are skipped, numbers keep their gaps."""
+    """Chunks of provider replies (document_id, reply JSON), with or without a question: empty contents are skipped, numbers keep their gaps."""
     parsed = replies.select("document_id", F.posexplode(F.from_json("reply", _REPLY)["chunks"]).alias("sequence_num", "c"))
     start = F.coalesce(F.col("c.start_idx").try_cast("int"), F.lit(0))
     return parsed.where(F.coalesce(F.col("c.content"), F.lit("")) != "").select(
@@ -136,6 +142,58 @@ def from_reply(replies: DataFrame, strategy: str = "semantic") -> DataFrame:
         "c.content", "c.topic", "c.keywords", F.col("c.relevance_score").try_cast("double").alias("relevance_score"), "c.reason")
 
 
+def answered(docs: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents whose reply can be read, with it in `reply`, and the others. `replies` has one row a document."""
+    both = _given(docs).join(replies.select("document_id", "reply"), "document_id", "left")
+    return both.where(readable(F.col("reply"))), both.where(~readable(F.col("reply"))).drop("reply")
+
+
+def semantic(docs: DataFrame, replies: DataFrame) -> DataFrame:
+    """Chunks by replies, by packed sentences for documents without a readable one."""
+    good, rest = answered(docs, replies)
+    return from_reply(good).unionByName(semantic_fallback(rest), allowMissingColumns=True)
+
+
+_DESCRIBED = "struct<title:string,summary:string,key_points:array<string>,meta_info:struct<entities:array<string>,topics:array<string>,keywords:array<string>>>"
+
+
+def keyword_from_reply(docs: DataFrame) -> DataFrame:
+    """Title, summary, key points and meta information of documents with a `reply`.
+
+    Numbers are fixed for title, summary and key points; the meta information takes the number of chunks before it, so it
+    can share its number (and id) with a key point where title or summary is missing, as specified.
+    """
+    df = docs.select("document_id", is_korean(F.col("language")).alias("kr"), F.from_json("reply", _DESCRIBED).alias("r"),
+                     F.get_json_object("reply", "$.meta_info").alias("given"))
+    label = lambda kr, en: F.when(F.col("kr"), kr).otherwise(en)
+    points = F.coalesce("r.key_points", F.array().cast("array<string>"))
+    listed = lambda name, kr, en: F.when(F.size(F.col(f"r.meta_info.{name}")) > 0, F.concat(
+        label(kr, en), F.array_join(f"r.meta_info.{name}", ", "), F.lit("\n"))).otherwise("")
+    # Labels of the parts.
+    info = F.concat(label("핵심 메타정보:\n", "Core Metadata:\n"), listed("entities", "- 주요 개체: ", "- Main Entities: "),
+                    listed("topics", "- 주제: ", "- Topics: "), listed("keywords", "- 키워드: ", "- Keywords: "))
+
+    def part(seq: Column, head: Column, body: Column, kind: str, weight: float) -> Column:
+        return F.struct(seq.cast("int").alias("sequence_num"), F.lit(0).alias("start_idx"), F.length(body).alias("end_idx"),
+                        F.concat(head, body).alias("content"), F.lit(kind).alias("kind"), F.lit(weight).alias("importance"))
+
+    df = df.withColumn("points", points).withColumn("info", info)
+    front = F.array_compact(F.array(
+        F.when(F.length("r.title") > 0, part(F.lit(0), label("제목: ", "Title: "), F.col("r.title"), "title", 1.0)),
+        F.when(F.length("r.summary") > 0, part(F.lit(1), label("요약: ", "Summary: "), F.col("r.summary"), "summary", 0.9))))
+    keys = F.transform("points", lambda p, i: part(
+        i + 2, F.concat(label("핵심포인트 ", "Key Point "), (i + 1).cast("string"), F.lit(": ")), F.coalesce(p, F.lit("")), "key_point", 0.8))
+    has_info = F.col("given").isNotNull() & ~F.col("given").isin("{}", "null", "")
+    meta = F.when(has_info, F.array(part(F.size(front) + F.size("points"), F.lit(""), F.col("info"), "meta_info", 0.7)))
+    return _rows(df, "keyword", F.concat(front, keys, F.coalesce(meta, F.slice(keys, 1, 0))), "kind", "importance")
+
+
+def keyword(docs: DataFrame, replies: DataFrame) -> DataFrame:
+    """Chunks by replies, by the first sentences for documents without a readable one."""
+    good, rest = answered(docs, replies)
+    return keyword_from_reply(good).unionByName(keyword_fallback(rest))
+
+
 def keyword_fallback(docs: DataFrame) -> DataFrame:
     """Title, summary, up to three key points and the meta information of each document."""
     df = _given(docs).withColumn("s", sentences(F.col("content"), F.col("language"))).withColumn("kr", is_korean(F.col("language")))
@@ -165,6 +223,41 @@ def query_keywords(question: Column, most: int = 5) -> Column:
     return F.slice(words(question), 1, most)
 
 
+_ANALYSIS = "struct<question_type:string,key_entities:array<string>,keywords:array<string>,required_info:array<string>,complexity:string>"
+
+
+def query_analysis(questions: DataFrame) -> DataFrame:
+    """(query_id, question_type, key_entities, keywords, required_info, complexity) of questions with a `reply`.
+
+    Without a readable reply: an information question of moderate complexity with its first five words as keywords.
+    """
+    none = F.array().cast("array<string>")
+    fallback = F.struct(F.lit("information").alias("question_type"), none.alias("key_entities"), query_keywords(F.coalesce("question", F.lit(""))).alias("keywords"),
+                        F.array(F.lit("general")).alias("required_info"), F.lit("moderate").alias("complexity"))
+    return questions.select("query_id", F.when(readable(F.col("reply")), F.from_json("reply", _ANALYSIS)).otherwise(fallback).alias("a")).select("query_id", "a.*")
+
+
+def query_aware_from_reply(docs: DataFrame) -> DataFrame:
+    """Extracted passages of documents with a `reply`, before filter and merge; a missing relevance is 0.5."""
+    r = docs.select("document_id", F.from_json("reply", _REPLY).alias("r")).select("document_id", "r.coverage", F.posexplode("r.chunks").alias("sequence_num", "c"))
+    content = F.coalesce("c.content", F.lit(""))
+    return r.select(
+        chunk_id(F.col("document_id"), "query_aware", F.col("sequence_num")).alias("chunk_id"), "document_id", F.lit("query_aware").alias("strategy"), "sequence_num",
+        F.coalesce(F.col("c.start_idx").try_cast("int"), F.lit(0)).alias("start_idx"), F.coalesce(F.col("c.end_idx").try_cast("int"), F.length(content)).alias("end_idx"),
+        content.alias("content"), F.coalesce(F.col("c.relevance_score").try_cast("double"), F.lit(0.5)).alias("relevance_score"),
+        F.coalesce("c.relevance_reason", F.lit("")).alias("relevance_reason"), F.coalesce("c.answer_contribution", F.lit("")).alias("answer_contribution"),
+        F.coalesce("c.keywords", F.array().cast("array<string>")).alias("keywords"), F.coalesce("coverage", F.lit("0%")).alias("coverage"))
+
+
+def query_aware(docs: DataFrame, replies: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Passages by replies, filtered by relevance and merged; slices for documents whose reply has none."""
+    good, rest = answered(docs, replies)
+    some = F.size(F.coalesce(F.from_json("reply", _REPLY)["chunks"], F.array().cast("array<struct<content:string,start_idx:string,end_idx:string,topic:string,"
+                  "keywords:array<string>,relevance_score:string,reason:string,relevance_reason:string,answer_contribution:string>>"))) > 0
+    slices = query_aware_fallback(rest.unionByName(good.where(~some).drop("reply")), limit)
+    return optimise(query_aware_from_reply(good.where(some)), limit).unionByName(slices, allowMissingColumns=True)
+
+
 _SCORED = T.ArrayType(T.StructType([
     T.StructField("id_num", T.IntegerType()), T.StructField("sequence_num", T.IntegerType()), T.StructField("start_idx", T.IntegerType()),
     T.StructField("end_idx", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("relevance_score", T.DoubleType()),
@@ -198,7 +291,8 @@ def optimise(scored: DataFrame, limit: int = LIMIT, least: float = 0.3) -> DataF
         return pd.Series([merge_scored([dict(c) for c in p], limit, least) for p in parts])
 
     grouped = scored.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(
-        "sequence_num", "start_idx", "end_idx", "content", F.coalesce("relevance_score", F.lit(0.5)).alias("relevance_score"),
+        "sequence_num", F.coalesce("start_idx", F.lit(0)).alias("start_idx"), F.coalesce("end_idx", F.lit(0)).alias("end_idx"),
+        F.coalesce("content", F.lit("")).alias("content"), F.coalesce("relevance_score", F.lit(0.5)).alias("relevance_score"),
         F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords")))).alias("c"))  # chunks of one document
     return _rows(grouped, "query_aware", run("c"), "id_num", "relevance_score", "keywords", "merged_from")
 
@@ -281,6 +375,18 @@ def chunk(docs: DataFrame, strategies: list[str] | None = None) -> DataFrame:
     return out
 
 
+def chunk_valid(docs: DataFrame, strategy: str, limit: int = LIMIT) -> DataFrame:
+    """Chunks of a strategy, none of documents with an empty chunk or one above two limits."""
+    chunks = STRATEGIES[strategy](docs).select(*COMMON)
+    good = validity(docs.select("document_id").distinct(), chunks, limit).where("valid")
+    return chunks.join(good.select("document_id"), "document_id", "left_semi")
+
+
+def position(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, start, end, length, sequence): where each chunk lies."""
+    return chunks.select("chunk_id", F.col("start_idx").alias("start"), F.col("end_idx").alias("end"), F.length("content").alias("length"), F.col("sequence_num").alias("sequence"))
+
+
 def metrics(chunks: DataFrame) -> DataFrame:
     """Per document: count, sizes and overlap ratio; the denominator is the end of the first chunk, as specified."""
     size = F.length("content")

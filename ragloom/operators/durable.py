@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own in the checkpoint folder, which all executors see."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and continue from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)

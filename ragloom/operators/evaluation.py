@@ -6,6 +6,8 @@ average precision and the ideal ranking use the relevant items that were retriev
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -38,6 +40,48 @@ def means(scores: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return scores.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("num_samples"), *[F.round(F.avg(m), 6).alias(m) for m in METRICS])
 
 
+def missing_lists(asked: DataFrame, ranked: DataFrame, strategies: DataFrame) -> DataFrame:
+    """(strategy, missing): how many of the asked questions have no ranked list, for each of the few strategies."""
+    wanted = asked.select("query_id").distinct().agg(F.count(F.lit(1)).alias("wanted"))
+    got = ranked.select("strategy", "query_id").distinct().join(asked.select("query_id").distinct(), "query_id", "left_semi").groupBy("strategy").agg(F.count(F.lit(1)).alias("got"))
+    return strategies.select("strategy").join(got, "strategy", "left").crossJoin(F.broadcast(wanted)).select(  # one row
+        "strategy", (F.col("wanted") - F.coalesce("got", F.lit(0))).alias("missing"))
+
+
+def strict(scores: DataFrame, missing: DataFrame) -> DataFrame:
+    """Mean scores without the strategies that lack a ranked list: one missing list fails its strategy."""
+    return scores.join(missing.where("missing = 0").select("strategy"), "strategy", "left_semi")
+
+
+def result_rows(scores: DataFrame, k: int = 5, keys: tuple[str, ...] = ("strategy", "language"), ensemble_method: str | None = None) -> DataFrame:
+    """One row for each strategy and language of mean scores: recall is the hit rate at k, with all cut-offs in `at_k`.
+
+    AUROC and both RMSE are 0 here; `auroc` and `rmse` compute them as extensions.
+    """
+    at = lambda m: F.max(F.when(F.col("k") == k, F.col(m)))
+    per = scores.groupBy(*keys).agg(
+        at("hit").alias("recall_at_k"), at("mrr").alias("mrr"), at("num_samples").alias("num_samples"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", F.struct(*METRICS))))).alias("at_k"))  # a few cut-offs
+    return per.select(*keys, *[F.lit(0.0).alias(c) for c in ("hallucination_auroc", "context_relevance_rmse", "utilization_rmse")],
+                      "recall_at_k", "mrr", F.coalesce("num_samples", F.lit(0)).alias("num_samples"), F.lit(ensemble_method).cast("string").alias("ensemble_method"), "at_k")
+
+
+def with_zero_rows(rows: DataFrame, failed: DataFrame) -> DataFrame:
+    """Result rows with a row of zeros and no samples for each (strategy, language) of `failed` that has none."""
+    numbers = ("hallucination_auroc", "context_relevance_rmse", "utilization_rmse", "recall_at_k", "mrr")
+    missing = failed.select(F.coalesce("strategy", F.lit("unknown")).alias("strategy"), "language").distinct().join(rows.select("strategy", "language"), ["strategy", "language"], "left_anti")
+    zero = missing.select("strategy", "language", *[F.lit(0.0).alias(c) for c in numbers], F.lit(0).cast("bigint").alias("num_samples"))
+    return rows.unionByName(zero, allowMissingColumns=True)
+
+
+#: Evaluators by name: functions from (query_id, rank, rel) rows with keys to scores.
+EVALUATORS: dict[str, Callable[..., DataFrame]] = {"ranking": per_query}
+
+
+def register(name: str, evaluator: Callable[..., DataFrame]) -> None:
+    EVALUATORS[name] = evaluator
+
+
 def overall_score(auroc: Column, context_rmse: Column, use_rmse: Column, recall: Column, mrr: Column) -> Column:
     one = F.lit(1.0)
     return (auroc + (one - F.least(context_rmse, one)) + (one - F.least(use_rmse, one)) + recall + mrr) / 5

@@ -1,12 +1,13 @@
 """Exact top-k search of a stated set of queries, in blocks.
 
-A block of query vectors (a fixed number, so a bounded size) goes to every task; each task keeps its k best items a
+Blocks of query vectors (a fixed number, so a bounded size) go to every task; each task keeps its k best items a
 query over all its rows, and only those meet in one window. Ties are ordered by item id; a zero vector scores 0.
+RETRIEVERS holds searches known by name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,54 +15,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-BLOCK = 4096
+from ragloom.operators.durable import durable
 
+#: Query vectors compared at a time, and blocks that one pass over the items takes along.
+BLOCK, BLOCKS_A_PASS = 4096, 16
 
-def _local_best(ids: list, matrix: np.ndarray, lengths: np.ndarray, k: int, item_batch: int = 8192):
+
+def _local_best(sent, k: int, block: int, by: str | None, item_batch: int = 8192):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, list[tuple[float, object]]] = {}
+        ids, flat, dim = sent.value
+        matrix = np.frombuffer(flat, np.float64).reshape(len(ids), dim)
+        lengths = (matrix * matrix).sum(axis=1)
+        best: dict[tuple, list[tuple[float, object]]] = {}
         for batch in batches:
             batch = batch[batch["vec"].notna()]
-            for at in range(0, len(batch), item_batch):
-                part = batch.iloc[at:at + item_batch]
-                vectors = np.array(part["vec"].tolist(), np.float64)
-                both = np.sqrt(np.multiply.outer(lengths, (vectors * vectors).sum(axis=1)))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    scores = np.where(both > 0, matrix @ vectors.T / both, 0.0)
-                scores = np.round(scores, 9)
-                items = part["item_id"].to_numpy()
-                cut = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
-                for q in range(len(scores)):
-                    found = np.flatnonzero(scores[q] >= cut[q])  # with all ties of the k-th
-                    merged = best.get(q, []) + [(-scores[q, j], items[j]) for j in found]
-                    merged.sort()
-                    best[q] = merged[:k]
-        rows = [(ids[q], item, -score) for q, found in best.items() for score, item in found]
-        yield pd.DataFrame(rows, columns=["query_id", "item_id", "score"])
+            batch = batch[batch["vec"].map(len) == dim]
+            for group, rows in ((None, batch),) if by is None else batch.groupby(by, dropna=False):
+                for at in range(0, len(rows), item_batch):
+                    part = rows.iloc[at:at + item_batch]
+                    vectors = np.array(part["vec"].tolist(), np.float64).reshape(len(part), dim)
+                    items, own = part["item_id"].to_numpy(), (vectors * vectors).sum(axis=1)
+                    for lo in range(0, len(ids), block):
+                        both = np.sqrt(np.multiply.outer(lengths[lo:lo + block], own))
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            scores = np.round(np.where(both > 0, matrix[lo:lo + block] @ vectors.T / both, 0.0), 9)
+                        cut = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+                        for q in range(len(scores)):
+                            found = np.flatnonzero(scores[q] >= cut[q])  # with all ties of the k-th
+                            merged = best.get((group, lo + q), []) + [(-scores[q, j], items[j]) for j in found]
+                            merged.sort()
+                            best[group, lo + q] = merged[:k]
+        out = pd.DataFrame([(ids[q], group, item, -score) for (group, q), found in best.items() for score, item in found],
+                           columns=["query_id", by or "_", "item_id", "score"])
+        yield out if by else out.drop(columns="_")
 
     return run
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
-    """(query_id, item_id, score, rank) of queries (query_id, vec) against items (item_id, vec)."""
-    known = queries.where("vec is not null").select("query_id", "vec")
-    count = known.count()
-    kind = dict(queries.dtypes)["query_id"], dict(items.dtypes)["item_id"]
-    schema = f"query_id {kind[0]}, item_id {kind[1]}, score double"
+def top_k(queries: DataFrame, items: DataFrame, k: int = 5, block: int = BLOCK, by: str | None = None) -> DataFrame:
+    """(query_id, [by,] item_id, score, rank) of queries (query_id, vec) against items (item_id, vec).
+
+    With `by`, a column of the items with few values, the k best of each of its values come out of the same pass. More
+    queries than BLOCKS_A_PASS blocks take further passes. Vectors of another length than the queries' are nobody's best.
+    """
+    known = durable(queries.where("vec is not null and size(vec) > 0").select("query_id", "vec"))
+    kinds = dict(items.dtypes)
+    own = [by] if by else []
+    schema = ", ".join([f"query_id {dict(queries.dtypes)['query_id']}", *[f"{c} {kinds[c]}" for c in own], f"item_id {kinds['item_id']}", "score double"])
+    sizes = known.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a length of vectors
     local = None
-    blocks = max(1, -(-count // block))
-    numbered = known.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    for b in range(blocks):
-        rows = numbered.where(F.col("block") == b).orderBy("query_id").collect()
-        if not rows:
-            continue
-        matrix = np.array([r["vec"] for r in rows], np.float64)
-        part = items.select("item_id", "vec").mapInPandas(
-            _local_best([r["query_id"] for r in rows], matrix, (matrix * matrix).sum(axis=1), k), schema)
-        local = part if local is None else local.unionByName(part)
+    for dim, count in ((r["dim"], r["n"]) for r in sizes):
+        passes = max(1, -(-count // (block * BLOCKS_A_PASS)))
+        numbered = known.where(F.size("vec") == dim).withColumn("pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)))
+        for p in range(passes):
+            rows = numbered.where(F.col("pass") == p).orderBy("query_id").collect()
+            if rows:
+                flat = np.array([r["vec"] for r in rows], np.float64).tobytes()
+                sent = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], flat, dim))
+                part = items.select("item_id", "vec", *own).mapInPandas(_local_best(sent, k, block, by), schema)
+                local = part if local is None else local.unionByName(part)
     if local is None:
         local = items.sparkSession.createDataFrame([], schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    order = Window.partitionBy("query_id", *own).orderBy(F.desc("score"), "item_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -73,3 +88,10 @@ def rerank(df: DataFrame, score: Column, by: list[str], ties: Column) -> DataFra
 def above(ranked: DataFrame, threshold: float = 0.7, k: int = 10) -> DataFrame:
     """Only results at or above the threshold, at most k a query."""
     return ranked.where((F.col("score") >= threshold) & (F.col("rank") <= k))
+
+
+RETRIEVERS: dict[str, Callable[..., DataFrame]] = {"vector": top_k}
+
+
+def register(name: str, retriever: Callable[..., DataFrame]) -> None:
+    RETRIEVERS[name] = retriever

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,14 @@ def compare_languages(results: DataFrame) -> DataFrame:
     return per.select("language", "n", F.round("mean", 6).alias("mean"), "best_strategy")
 
 
+def language_gap(results: DataFrame, a: str = "en", b: str = "kr") -> DataFrame:
+    """One row: means of two languages, their distance and the better one (b where they are equal); nulls where one is missing."""
+    of = lambda lang: F.avg(F.when(F.col("language") == lang, F.col("value")))
+    per = results.agg(of(a).alias("a"), of(b).alias("b"))
+    return per.select(F.round("a", 6).alias(f"{a}_mean"), F.round("b", 6).alias(f"{b}_mean"), F.round(F.abs(F.col("a") - F.col("b")), 6).alias("gap"),
+                      F.when(F.col("a") > F.col("b"), a).when(F.col("a") <= F.col("b"), b).alias("better"))
+
+
 def compare_strategies(results: DataFrame, a: str = "en", b: str = "kr") -> DataFrame:
     """Means per strategy over all, in two languages, and how alike those are."""
     of = lambda lang: F.avg(F.when(F.col("language") == lang, F.col("value")))
@@ -81,6 +90,30 @@ def pooled_t(rows: DataFrame, group: Column) -> DataFrame:
                     F.round(F.coalesce(F.try_divide(diff, F.sqrt(pooled)), F.lit(0.0)), 6).alias("cohens_d"))
 
 
+def tests(results: DataFrame, baseline: float = BASELINE, level: float = 0.05) -> DataFrame:
+    """(test, statistic, p, significant) of all tests that the values allow; tails are taken on the driver for these few numbers.
+
+    Paired by language, against the baseline, ensembles against the others, and analysis of variance over the others.
+    """
+    out = []
+
+    def add(name: str, statistic: float | None, p: Callable[[float], float]) -> None:
+        if statistic is not None and math.isfinite(statistic):
+            tail = p(statistic)
+            out.append((name, statistic, tail, tail < level))
+
+    paired, single = paired_t(results).first(), one_sample_t(results, baseline).first()
+    own = F.col("strategy").contains("ensemble")
+    both, anova = pooled_t(results, own).first(), anova_f(results.where(~own), "strategy").first()
+    add("paired_languages", paired["t"], lambda t: t_two_sided(t, paired["n"] - 1))
+    add("one_sample", single["t"], lambda t: t_two_sided(t, single["n"] - 1))
+    if both["n0"] and both["n1"]:
+        add("ensembles", both["t"], lambda t: t_two_sided(t, both["n0"] + both["n1"] - 2))
+    if anova:
+        add("anova", anova["f"], lambda f: f_upper(f, anova["groups"] - 1, anova["values"] - anova["groups"]))
+    return results.sparkSession.createDataFrame(out, "test string, statistic double, p double, significant boolean")
+
+
 def anova_f(rows: DataFrame, group: str) -> DataFrame:
     """One-way analysis of variance over groups of at least two values."""
     per = rows.groupBy(group).agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).where("n >= 2")
@@ -125,6 +158,7 @@ def analyse(results: DataFrame) -> dict:
     out = {
         "descriptive": [r.asDict() for r in descriptive(results).collect()], "languages": [r.asDict() for r in compare_languages(results).collect()],
         "strategies": [r.asDict() for r in compare_strategies(results).collect()], "ensembles": one(ensemble_effect(results)), "paired_t": paired, "one_sample_t": single,
+        "gap": one(language_gap(results)), "tests": [r.asDict() for r in tests(results).collect()],
         "anova": anova.asDict() if anova else None, "effects": [r.asDict() for r in effect_sizes(results).collect()]}
     for test in (paired, single):
         test["p"] = t_two_sided(test["t"], test["n"] - 1) if test["t"] is not None and test["n"] > 1 else None

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ragloom.functions import text, vectors
 from ragloom.operators import chunkers, embedding, evaluation, retrieval
 from ragloom.operators import statistics as st
+from ragloom.operators.durable import shared_folder
 from ragloom.operators.skew import salted_join
 from ragloom.plans import pipeline
+from ragloom.plans.fold_sql import MERGE_SMALL, OPTIMISE, SEMANTIC
 from ragloom.plans.registry import BLANKS, DOCS, NORM, QUERIES, SENT, SQL, TRIM, WORDS, asked, documents, given, query, searched
 from ragloom.sources import loaders, store
 from ragloom.sources.tables import table
@@ -77,7 +79,7 @@ def chunk_query_aware(spark, base):
     return chunkers.query_aware_fallback(documents(spark, base))
 
 
-@query()
+@query(f"""with recursive {SEMANTIC} select document_id || '_semantic_' || sequence_num chunk_id, document_id, 'semantic' strategy, sequence_num, start_idx, cast(end_idx as int) end_idx, content from semantic""")
 def chunk_semantic(spark, base):
     return chunkers.semantic_fallback(documents(spark, base))
 
@@ -114,7 +116,7 @@ def chunk_fixed_stats(spark, base):
     return chunkers.fixed_statistics(chunkers.fixed_size(documents(spark, base)))
 
 
-@query()
+@query(f"""with recursive {SEMANTIC}, {MERGE_SMALL} select document_id, 'semantic' strategy, sequence_num, start_idx, cast(end_idx as int) end_idx, content from small""")
 def chunk_merge_small(spark, base):
     return chunkers.merge_small(chunkers.semantic_fallback(documents(spark, base)), 200)
 
@@ -129,12 +131,14 @@ def chunk_from_reply(spark, base):
     return chunkers.from_reply(replies).select("chunk_id", "document_id", "strategy", "sequence_num", "start_idx", "end_idx", "content", "topic")
 
 
-@query()
+@query(f"""with recursive used as (select u.id chunk_id, max(u.relevance_score) score from (select unnest(chunks_used) u from responses) group by 1),
+cand as (select document_id, sequence_num, start_idx, end_idx, content, coalesce(score, 0.5::double) score, [coalesce(topic, '')] keywords from (select distinct on (chunk_id) * from chunks) left join used using (chunk_id) where strategy = 'query_aware'),
+{OPTIMISE} select * from optimised""")
 def optimise_chunks(spark, base):
     """Relevance filter and merging of the query-aware chunks that responses used."""
     used = table(spark, base, "responses").select(F.explode("chunks_used").alias("u")).groupBy(F.col("u.id").alias("chunk_id")).agg(F.max("u.relevance_score").alias("relevance_score"))
     c = table(spark, base, "chunks").dropDuplicates(["chunk_id"]).join(used, "chunk_id", "left")
-    return chunkers.optimise(c.where("strategy = 'query_aware'").withColumn("keywords", F.array(F.coalesce("topic", F.lit("")))))
+    return chunkers.optimise(c.where("strategy = 'query_aware'").withColumn("keywords", F.array(F.coalesce("topic", F.lit(""))))).withColumn("relevance_score", F.round("relevance_score", 6))
 
 
 @query("select distinct chunk_id, substr(sha256(concat_ws(':', document_id, start_idx, end_idx, content)), 1, 16) hash from chunks")
@@ -181,7 +185,13 @@ def sequence_ratio(spark, base):
     return asked(spark, base).select("query_id", F.round(text.sequence_ratio(F.col("question"), F.col("expected_answer")), 6).alias("ratio"))
 
 
-@query()
+_ROW = lambda r, a, y: f"list_transform({r}, lambda v, j: case when {a} = {y}[j] then greatest(v, coalesce({r}[j - 1], 0) + 1) else v end)"
+
+
+@query(rf"""with recursive q as (select distinct query_id, regexp_extract_all(lower(coalesce(question, '')), '[\p{{L}}\p{{N}}]+') x, regexp_extract_all(lower(coalesce(expected_answer, '')), '[\p{{L}}\p{{N}}]+') y from queries where query_id is not null),
+f as (select query_id, x, y, 0 k, list_transform(y, lambda w: 0) r from q
+  union all select query_id, x, y, k + 1, list_transform(c, lambda v, j: list_max(c[1:j])) from (select query_id, x, y, k, {_ROW('r', 'x[k + 1]', 'y')} c from f where k < len(x)))
+select query_id, round(case when len(x) = 0 or len(y) = 0 or r[len(y)] = 0 then 0 else 2 * (r[len(y)] / len(y)) * (r[len(y)] / len(x)) / (r[len(y)] / len(y) + r[len(y)] / len(x)) end, 6) rouge from f where k = len(x)""")
 def rouge_l(spark, base):
     return asked(spark, base).select("query_id", F.round(text.rouge_l_score(F.col("question"), F.col("expected_answer")), 6).alias("rouge"))
 
@@ -355,9 +365,43 @@ def effect_sizes(spark, base):
     return st.effect_sizes(results(spark, base))
 
 
-@query()
+_T975 = "([12.706204736174698, 4.302652729749464, 3.182446305283711, 2.7764451051977934, 2.570581835636315, 2.4469118511449786, 2.364624251592787, 2.306004135204166, 2.2621571627409915, 2.2281388519649385]::double[])"
+
+
+@query(f"""with {_RES}, g as (select strategy, count(*) n, avg("value") m, coalesce(stddev_samp("value"), 0) s from res group by 1)
+select strategy, n, round(case when n < 2 then 0 else m - {_T975}[n - 1] * s / sqrt(n) end, 6) low, round(case when n < 2 then 0 else m + {_T975}[n - 1] * s / sqrt(n) end, 6) high from g""")
 def confidence_interval(spark, base):
-    return st.confidence_intervals(results(spark, base), "strategy")
+    return st.confidence_intervals(results(spark, base), "strategy").withColumn("low", F.round("low", 6)).withColumn("high", F.round("high", 6))
+
+
+@query(f"""with {_RES}, a as (select avg("value") filter (language = 'en') e, avg("value") filter (language = 'kr') k from res)
+select round(e, 6) en_mean, round(k, 6) kr_mean, round(abs(e - k), 6) gap, case when e > k then 'en' when e <= k then 'kr' end better from a""")
+def language_gap(spark, base):
+    return st.language_gap(results(spark, base))
+
+
+# Tails of the t and F distributions by Simpson's rule over their densities.
+_AREA = lambda density, upto: f"list_sum(list_transform(range(0, 4001), lambda i: (case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end) * {density(f'({upto} * i / 4000)')})) * {upto} / 12000"
+_T_PDF = lambda v: lambda x: f"(exp(lgamma(({v} + 1) / 2.0::double) - lgamma({v} / 2.0::double)) / sqrt({v} * pi()) * pow(1 + {x} * {x} / {v}, -({v} + 1) / 2.0::double))"
+_F_PDF = lambda a, b: lambda x: (f"(exp(lgamma(({a} + {b}) / 2.0::double) - lgamma({a} / 2.0::double) - lgamma({b} / 2.0::double)) * pow({a}::double / {b}, {a} / 2.0::double) "
+                                 f"* pow({x}, {a} / 2.0::double - 1) * pow(1 + {a}::double * {x} / {b}, -({a} + {b}) / 2.0::double))")
+
+
+@query(f"""with {_RES}, x as (select case when strategy in ('semantic', 'keyword') then 'ensemble_' || strategy else strategy end strategy, language, "value" from res),
+d as (select avg("value") filter (language = 'en') - avg("value") filter (language = 'kr') d from x group by strategy),
+e as (select count(*) filter (g) n1, count(*) filter (not g) n0, avg("value") filter (g) - avg("value") filter (not g) d, var_samp("value") filter (g) v1, var_samp("value") filter (not g) v0 from (select *, contains(strategy, 'ensemble') g from x)),
+g as (select strategy, count(*) n, sum("value") s, sum("value" * "value") q from x where not contains(strategy, 'ensemble') group by 1 having count(*) >= 2),
+a as (select count(*) g, sum(n)::double n, sum(s) s, sum(q) q, sum(s * s / n) b from g),
+t as (select 'paired_languages' test, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 6) t, count(d) - 1 v from d
+  union all select 'one_sample', round((avg("value") - 0.57) / (stddev_samp("value") / sqrt(count("value"))), 6), count("value") - 1 from x
+  union all select 'ensembles', round(d / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0::double / n0 + 1.0::double / n1)), 6), n0 + n1 - 2 from e),
+f as (select round(((b - s * s / n) / (g - 1)) / ((q - b) / (n - g)), 4) f, (g - 1)::double a, n - g b from a where g >= 2),
+p as (select test, t statistic, 1 - 2 * {_AREA(_T_PDF('v'), 'abs(t)')} p from t union all select 'anova', f, 1 - {_AREA(_F_PDF('a', 'b'), 'f')} from f)
+select test, statistic, round(p, 4) p, p < 0.05 significant from p""")
+def statistical_tests(spark, base):
+    """All tests with their tails; two strategies stand for ensembles."""
+    r = results(spark, base).withColumn("strategy", F.when(F.col("strategy").isin("semantic", "keyword"), F.concat(F.lit("ensemble_"), "strategy")).otherwise(F.col("strategy")))
+    return st.tests(r).withColumn("p", F.round("p", 4))
 
 
 # ---- summaries, store, loaders -------------------------------------------------------------------------------------
@@ -381,8 +425,8 @@ def store_stats(spark, base):
 
 @query("select distinct on (chunk_id) chunk_id, document_id, strategy, sequence_num, start_idx, end_idx, content from chunks where document_id <> 'd0000000001'")
 def store_roundtrip(spark, base):
-    """Save, save again (replaces), clear one document, read back."""
-    s = store.ChunkStore(spark, tempfile.mkdtemp(prefix="ragloom-store-"))
+    """Save, save one strategy again (replaces), clear one document, read back."""
+    s = store.ChunkStore(spark, shared_folder(spark, "store"), buckets=8)
     c = table(spark, base, "chunks").dropDuplicates(["chunk_id"]).select(*chunkers.COMMON, "language")
     s.save(c)
     s.save(c.where("strategy = 'semantic'"))
@@ -406,8 +450,8 @@ def squad_flatten(spark, base):
     """Pairs nested into articles and flattened again."""
     d = table(spark, base, "rag_documents").select("title", F.col("document_id").alias("context_id"), F.col("content").alias("context"))
     qa = F.struct(F.col("query_id").alias("id"), "question", F.array(F.struct(F.col("expected_answer").alias("text"))).alias("answers"))
-    nested = asked(spark, base).join(d, "context_id").select(F.array(F.struct("title", F.array(F.struct("context", F.array(qa).alias("qas"))).alias("paragraphs"))).alias("data"))
+    nested = salted_join(asked(spark, base), d, "context_id", F.xxhash64("query_id"), "inner").select(F.array(F.struct("title", F.array(F.struct("context", F.array(qa).alias("qas"))).alias("paragraphs"))).alias("data"))
     return loaders.squad(nested)
 
 
-from ragloom.plans import catalog_responses  # noqa: E402, F401  (registers its queries)
+from ragloom.plans import catalog_replies, catalog_reports, catalog_responses, catalog_sources  # noqa: E402, F401  (registers their queries)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragloom.operators.skew import salted_join
+from ragloom.sources.files import Files
+
 _PAIR = "id string, context string, text string, title string, source string, question string, answer string, answers struct<text:array<string>>"
 _RICH = f"struct<{', '.join(p.replace(' ', ':', 1) for p in _PAIR.split(', '))}>"
 _SQUAD = ("data array<struct<title:string,paragraphs:array<struct<context:string,qas:array<struct<id:string,question:string,"
@@ -15,7 +18,10 @@ _SQUAD = ("data array<struct<title:string,paragraphs:array<struct<context:string
 
 
 def read_array(spark: SparkSession, path: str) -> DataFrame:
-    """(index, item) of a JSON file that is an array or has one in `data`; the order of the file is kept."""
+    """(index, item) of a JSON file that is an array or has one in `data`; the order of the file is kept.
+
+    Such a file is one value, read by one task, so it must fit in its memory. For more, use `read_lines`.
+    """
     whole = spark.read.text(path, wholetext=True)
     arr = F.coalesce(F.from_json("value", f"array<{_RICH}>"), F.from_json("value", f"struct<data:array<{_RICH}>>")["data"])
     bare = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{_RICH}>")).otherwise(
@@ -23,6 +29,32 @@ def read_array(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.coalesce(bare, arr)).alias("index", "item"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(index, item) of files with one JSON object a line, split over any number of tasks; indexes keep the order, with gaps."""
+    rows = spark.read.schema(_PAIR).json(path)
+    return rows.select(F.monotonically_increasing_id().alias("index"), F.struct(*rows.columns).alias("item"))
+
+
+def load_pairs(spark: SparkSession, path: str, sample: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, queries) of an array file; both empty if it is missing."""
+    try:
+        return pairs(read_array(spark, path), sample)
+    except PySparkException:
+        return (spark.createDataFrame([], "document_id string, content string"),
+                spark.createDataFrame([], "query_id string, question string, expected_answer string, context_id string"))
+
+
+def load_rich(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, queries) of an array file, the built-in sample if the file is missing or holds no item that can be read."""
+    try:
+        items = read_array(spark, path)
+        if not items.isEmpty():
+            return rich_pairs(items)
+    except PySparkException:
+        pass
+    return sample_data(spark)
+
+
 def pairs(items: DataFrame, sample: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, queries) of the first `sample` items that have context and question; ids are positions."""
     if sample is not None:
@@ -86,8 +118,9 @@ def translated(docs: DataFrame, language: str, translate: Column) -> DataFrame:
 
 
 def joined_pairs(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(id, context, question, answer) by context_id."""
-    return queries.where("context_id is not null").join(docs.select(F.col("document_id").alias("context_id"), F.col("content").alias("context")), "context_id").select(
+    """(id, context, question, answer) by context_id; a context with very many questions is spread over several tasks."""
+    contexts = docs.select(F.col("document_id").alias("context_id"), F.col("content").alias("context"))
+    return salted_join(queries.where("context_id is not null"), contexts, "context_id", F.xxhash64("query_id"), "inner").select(
         F.col("query_id").alias("id"), "context", "question", F.col("expected_answer").alias("answer"))
 
 
@@ -96,8 +129,8 @@ def save_pairs(docs: DataFrame, queries: DataFrame, path: str) -> None:
 
 
 def save_results(results: DataFrame, analysis: dict, metadata: dict, folder: str) -> None:
-    """Result rows as JSON lines by Spark, the small analysis and run metadata beside them."""
+    """Result rows as JSON lines, the small analysis and run metadata beside them, all through Spark's file systems."""
     results.write.mode("overwrite").json(f"{folder}/raw_results")
-    Path(folder).mkdir(parents=True, exist_ok=True)
+    files = Files(results.sparkSession, folder)
     for name, value in (("analysis_results", analysis), ("experiment_metadata", metadata)):
-        Path(folder, f"{name}.json").write_text(json.dumps(value, ensure_ascii=False, default=str))
+        files.write(f"{name}.json", json.dumps(value, ensure_ascii=False, indent=2, default=str))

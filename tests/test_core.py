@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragloom.functions import distributions, text, vectors
-from ragloom.operators import embedding, ensembles, evaluation, retrieval, statistics
+from ragloom.operators import chunkers, embedding, ensembles, evaluation, generation, plugins, retrieval, statistics
 from ragloom.operators.skew import salted_join
 from ragloom.plans import pipeline
 from ragloom.sources import loaders
@@ -197,3 +197,124 @@ def test_stream(spark, tmp_path):
     s = ChunkStore(spark, str(tmp_path / "store"))
     chunk_stream.start(chunk_stream.read_documents(spark, str(tmp_path / "in")), s, str(tmp_path / "cp"), ["recursive"], once=True).awaitTermination()
     assert s.load("a").count() == 4 and s.load("b").count() == 0
+
+
+def test_stream_takes_the_latest_row(spark):
+    rows = [("a", "old", "en", "2024-01-01"), ("a", "new", "en", "2024-02-01"), ("a", "undated", "en", None), (None, "x", "en", "2024-01-01")]
+    batch = spark.createDataFrame(rows, "document_id string, content string, language string, t string").withColumn("loaded_at", F.col("t").cast("timestamp"))
+    assert [r["content"] for r in chunk_stream.latest(batch).collect()] == ["new"]
+
+
+def test_store_rewrites_only_its_buckets_and_keeps_old_readers(spark, tmp_path):
+    cols = "chunk_id string, document_id string, strategy string, language string, content string, start_idx int, end_idx int, embedding array<float>"
+    s = ChunkStore(spark, str(tmp_path / "store"), buckets=16)
+    s.save(spark.createDataFrame([(f"c{i}", f"d{i}", "a", "en", f"text {i}", 0, 6, [float(i), 1.0]) for i in range(20)] + [("z", "dz", "b", "en", "z", 0, 1, None), ("n", None, "a", "en", "n", 0, 1, None)], cols))
+    before = s._manifest()[1]["parts"]
+    old = s.read()
+    s.save(spark.createDataFrame([("new", "d3", "a", "kr", "new text", 0, 8, [1.0, 0.0])], cols))
+    after = s._manifest()[1]["parts"]
+    assert sum(before[n]["version"] != p["version"] for n, p in after.items()) == 1
+    assert old.count() == 22 and s.read().count() == 22 and [r["chunk_id"] for r in s.load("d3").collect()] == ["new"]
+    other = ChunkStore(spark, str(tmp_path / "store"))
+    assert other.read(strategy="b").count() == 1 and other.search(spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vec array<float>"), k=2).first()["item_id"] == "new"
+    calls = []
+
+    def provider(df):
+        calls.append(df.count())
+        return embedding.hashing(4)(df)
+
+    chunks = s.read().drop("embedding")
+    s.embed_and_store(chunks, provider)
+    assert calls == [2]
+    s.vacuum(0)
+    assert s.read().where("embedding is null").count() == 0 and len(s.files.names("manifest")) == 1 and s.size_mb() >= 0
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    cols = "chunk_id string, document_id string, strategy string"
+    a, b = ChunkStore(spark, str(tmp_path / "s"), 4), ChunkStore(spark, str(tmp_path / "s"), 4)
+    create, once = a.files.create, []
+
+    def slow(name, text):
+        if not once:
+            once.append(1)
+            b.save(spark.createDataFrame([("2", "e", "a")], cols))
+        return create(name, text)
+
+    a.files.create = slow
+    a.save(spark.createDataFrame([("1", "d", "a")], cols))
+    assert {r["chunk_id"] for r in a.read().collect()} == {"1", "2"}
+
+
+def test_replies_and_fallbacks(spark):
+    docs = spark.createDataFrame([("a", "One. Two.", "en"), ("b", "Text here.", "kr"), ("c", "Third.", None), ("n", None, "en")], "document_id string, content string, language string")
+    described = json.dumps({"title": "T", "key_points": ["p", "q"], "meta_info": {"topics": ["x", "y"]}})
+    replies = spark.createDataFrame([("a", described), ("b", "not json"), ("c", "{}"), ("n", described)], "document_id string, reply string")
+    got = {r["chunk_id"]: r["content"] for r in chunkers.keyword(docs, replies).collect()}
+    assert got["a_keyword_0"] == "Title: T" and got["a_keyword_2"] == "Key Point 1: p" and "b_keyword_0" in got and got["c_keyword_0"] == "Title: Third." and "n_keyword_0" not in got
+    assert sorted(r["sequence_num"] for r in chunkers.keyword(docs, replies).where("document_id = 'a'").collect()) == [0, 2, 3, 3]  # meta shares a number with a key point
+    parts = json.dumps({"chunks": [{"content": "One.", "start_idx": "0", "relevance_score": 0.9}, {"content": "Two.", "start_idx": 5, "end_idx": 9}], "coverage": "70%"})
+    replies = spark.createDataFrame([("a", parts), ("b", '{"chunks": []}')], "document_id string, reply string")
+    got = chunkers.query_aware(docs, replies).orderBy("chunk_id").collect()
+    assert [(r["document_id"], r["content"], r["relevance_score"]) for r in got] == [("a", "One.", 0.9), ("a", "Two.", 0.5), ("b", "Text here.", 0.5), ("c", "Third.", 0.5)]
+    assert {r["document_id"] for r in chunkers.semantic(docs, replies).collect()} == {"a", "c"}
+    asked = spark.createDataFrame([("q", "how many days do they wait", None), ("r", None, '{"question_type": "fact"}')], "query_id string, question string, reply string")
+    got = {r["query_id"]: r for r in chunkers.query_analysis(asked).collect()}
+    assert got["q"]["keywords"] == ["how", "many", "days", "do", "they"] and got["r"]["question_type"] == "fact"
+
+
+def test_generation(spark):
+    kind = "array<struct<content:string,relevance_score:double>>"
+    rows = [("1", "q", "en", [("a passage long enough", 0.5), ("b", None)]), ("2", "q", "kr", []), ("3", None, None, None)]
+    got = {r["id"]: r for r in generation.generate(spark.createDataFrame(rows, f"id string, question string, language string, chunks {kind}"), generation.extractive).collect()}
+    assert got["1"]["response"] == "a passage long enough" and got["1"]["confidence"] == pytest.approx(0.75) and got["1"]["error"] is None
+    assert got["2"]["response"].startswith("죄송합니다") and got["2"]["confidence"] == 0.0 and got["3"]["response"].endswith("no passages")
+    seen = []
+    generation.generate(spark.createDataFrame(rows[:1], f"id string, question string, language string, chunks {kind}"), lambda df: seen.append(df.first()["prompt"]) or generation.extractive(df)).count()
+    assert "[참조 2]\nb" in seen[0] and seen[0].endswith("Question: q")
+
+
+def test_fusion_requests(spark):
+    rows = [(f"r{i:03d}", "q", "ab"[i % 2], "x" * 100) for i in range(50)] + [("n", "q", "a", None), ("p", "p", "a", "")]
+    got = ensembles.fusion_prompts(spark.createDataFrame(rows, "response_id string, query_id string, strategy string, response string"), 1000).orderBy("query_id", "request").collect()
+    assert sum(r["n"] for r in got) == 51 and max(len(r["responses"]) for r in got) < 1200 and got[1]["responses"].startswith("[a 전략 응답 1]\nx") and len(got) == 7
+
+
+def test_run_with_a_failing_strategy_and_command_line(spark, tmp_path):
+    docs, asked = loaders.sample_data(spark)
+    chunkers.register("broken", lambda d: d.select(F.raise_error(F.lit("no")).alias("chunk_id"), *[F.lit(None).alias(c) for c in chunkers.COMMON[1:]]))
+    try:
+        rows, account = pipeline.run(docs, asked, ["recursive", "broken"], 5)
+        got = {(r["strategy"], r["language"]): r["num_samples"] for r in rows.collect()}
+        assert got == {("recursive", "en"): 3, ("recursive", "kr"): 3, ("broken", "en"): 0, ("broken", "kr"): 0}
+        assert account.num_results == 2 and {e["context"] for e in account.errors} == {"en", "en-broken", "kr", "kr-broken"}
+    finally:
+        del chunkers.STRATEGIES["broken"]
+    from ragloom.__main__ import main
+
+    summary = main(["--strategies", "recursive", "fixed_size", "--results_dir", str(tmp_path / "out"), "--enable_embedding_storage", "--storage_path", str(tmp_path / "store")], spark)
+    assert {s["strategy"] for s in summary["strategies"]} == {"recursive", "fixed_size"} and json.loads((tmp_path / "out" / "analysis_results.json").read_text())["gap"]
+    assert ChunkStore(spark, str(tmp_path / "store")).read().where("embedding is not null").count() > 0
+    assert main(["--strategies", "recursive", "--mode", "e2e", "--data_path", str(tmp_path / "none.json")], spark)["strategies"][0]["is_best"]
+
+
+def test_plugins():
+    assert plugins.known("chunker", "recursive") is chunkers.STRATEGIES["recursive"]
+    for kind, (operators, _) in plugins.PLUGINS.items():
+        plugins.register(kind, "own", len)
+        assert plugins.known(kind, "own") is len
+        del operators["own"]
+    with pytest.raises(KeyError):
+        plugins.known("ensemble", "none")
+
+
+def test_strict_evaluation_and_zero_rows(spark):
+    scores = spark.createDataFrame([("a", "en", 5, 2, 1.0, 0.5, 1.0, 1.0, 1.0, 1.0), ("b", "en", 5, 1, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)],
+                                   "strategy string, language string, k int, num_samples bigint, hit double, precision double, recall double, mrr double, map double, ndcg double")
+    asked = spark.createDataFrame([("1",), ("2",)], "query_id string")
+    ranked = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "strategy string, query_id string")
+    missing = evaluation.missing_lists(asked, ranked, scores.select("strategy").distinct())
+    assert {r["strategy"]: r["missing"] for r in missing.collect()} == {"a": 0, "b": 1}
+    kept = evaluation.result_rows(evaluation.strict(scores, missing))
+    rows = {r["strategy"]: r for r in evaluation.with_zero_rows(kept, spark.createDataFrame([("b", "en")], "strategy string, language string")).collect()}
+    assert rows["a"]["recall_at_k"] == 1.0 and rows["a"]["at_k"][5]["precision"] == 0.5 and rows["b"]["num_samples"] == 0
