@@ -1,8 +1,9 @@
 """Splitting oversized texts at natural boundaries, and auditing stored pieces.
 
-Balanced targets: the smallest possible number of pieces is computed, targets of equal length are placed, each is
-moved to the strongest boundary nearby, and a piece is added whenever the limit fails. Consecutive pieces overlap
-by exactly the given number of characters. Positions are code points, end exclusive.
+Balanced targets: the smallest possible number of pieces is computed, from the limit and from where a text can be cut
+without breaking a word; that many targets of equal distance are placed, and each is moved to the strongest boundary
+nearby from which the rest still fits. Where a stretch fails, only its own cuts are added. Consecutive pieces overlap by
+exactly the given number of characters. Positions are code points, end exclusive.
 
 Defined results: a null text has no pieces; a text within the limit is one piece, also when empty; a text without
 any boundary is cut at the targets; the overlap must be smaller than half the limit.
@@ -11,22 +12,26 @@ any boundary is cut at the targets; the overlap must be smaller than half the li
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.operators.skew import salted_join
 
-#: Boundaries by strength: the cut lies at the end of the match.
+#: Boundaries by strength: the cut lies at the end of the match. 1 is any other place that isn't inside a word.
 BOUNDARIES = (
-    (5, re.compile(r"\n[^\S\n]*\n\s*")),
-    (4, re.compile(r"\n\s*")),
-    (3, re.compile(r"[.!?…][\"'”’»)\]]*\s+|[。！？．।][”’」』）]*\s*")),
-    (2, re.compile(r"[,;:]\s+|[，；：、]\s*")),
-    (1, re.compile(r"\s+")),
+    (2, re.compile(r"\s+")),
+    (3, re.compile(r"[,;:]\s+|[，；：、]\s*")),
+    (4, re.compile(r"[.!?…][\"'”’»)\]]*\s+|[。！？．।][”’」』）]*\s*")),
+    (5, re.compile(r"\n\s*")),
+    (6, re.compile(r"\n[^\S\n]*\n\s*")),
 )
+#: From this strength on a boundary is one between words.
+BETWEEN = 2
+#: One piece in so many may be spent on stronger boundaries.
+SPARE = 64
 
 
 def least_pieces(length: int, limit: int, overlap: int) -> int:
@@ -34,68 +39,96 @@ def least_pieces(length: int, limit: int, overlap: int) -> int:
     return 1 if length <= limit else -(-(length - overlap) // (limit - overlap))
 
 
-def strength_at(text: str, cut: int) -> int:
-    """Strength of the boundary at a cut: 0 inside a word, 1 elsewhere unless a stronger boundary ends here."""
-    if cut <= 0 or cut >= len(text):
-        return 5
+def next_start(end: int, overlap: int) -> int:
+    """Where the piece after one with this end starts."""
+    return end - overlap
+
+
+def inside_word(before: str, after: str) -> bool:
+    """Whether a cut between two characters breaks a word."""
+    return before.isalnum() and after.isalnum()
+
+
+def breaks_word(stretch: str, after: str) -> bool:
+    """Whether a piece ends inside a word although its second half has a blank. `after` is the character behind it."""
+    return bool(stretch) and inside_word(stretch[-1], after) and any(ch.isspace() for ch in stretch[len(stretch) // 2:])
+
+
+def boundary_faults(text: str, start: int, end: int) -> bool:
+    return 0 < end < len(text) and breaks_word(text[start:end], text[end])
+
+
+def strengths(text: str) -> np.ndarray:
+    """Strength of the boundary at every position of a text, its end included."""
+    words = np.fromiter((ch.isalnum() for ch in text), bool, len(text))
+    out = np.ones(len(text) + 1, np.int8)
+    out[1:-1] = np.where(words[:-1] & words[1:], 0, 1)
     for strength, pattern in BOUNDARIES:
-        for back in range(1, 9):
-            if cut - back < 0:
-                break
-            found = pattern.match(text, cut - back)
-            if found and found.end() == cut:
-                return strength
-    return 0 if text[cut - 1].isalnum() and text[cut].isalnum() else 1
-
-
-def best_cut(text: str, low: int, high: int, target: int) -> int:
-    """The strongest boundary in [low, high]; of equal ones that nearest to the target."""
-    near = max(16, (high - low) // 3)
-    windows = ((max(low, target - near), min(high, target + near)), (low, high))
-    for lo, hi in windows:
-        for strength, pattern in BOUNDARIES:
-            if (lo, hi) == windows[0] and strength < 2:
-                continue  # a stronger boundary further away comes before a mere blank
-            cuts = [m.end() for m in pattern.finditer(text, max(0, lo - 4), min(len(text), hi + 4)) if lo <= m.end() <= hi]
-            if cuts:
-                return min(cuts, key=lambda c: (abs(c - target), c))
-    marks = [c for c in range(lo, hi + 1) if not (text[c - 1].isalnum() and text[c:c + 1].isalnum())] if hi - lo <= 4096 else []
-    return min(marks, key=lambda c: (abs(c - target), c)) if marks else min(max(target, low), high)
+        ends = [m.end() for m in pattern.finditer(text)]
+        out[ends] = strength
+    return out
+
+
+def places(strength: np.ndarray, limit: int) -> np.ndarray:
+    """Where a piece may end: between words, and inside of a stretch without blanks once its beginning is half a limit behind.
+
+    No cut at one of these places breaks a word that could be spared.
+    """
+    n = len(strength) - 1
+    known = np.flatnonzero(strength >= BETWEEN)
+    known = known[(known > 0) & (known < n)]
+    edges = np.concatenate([[0], known, [n]])
+    far = np.flatnonzero(np.diff(edges) > limit // 2)
+    extra = [np.arange(edges[i] + limit // 2 + 1, edges[i + 1]) for i in far]
+    return np.unique(np.concatenate([edges, *extra]))
 
 
 def split(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int]]:
     """(start, end) of the pieces."""
     if overlap < 0 or 2 * overlap >= limit:
         raise ValueError("the overlap must be smaller than half the limit")
-    n = len(text)
-    count = least_pieces(n, limit, overlap)
-    while True:
-        if count == 1:
-            return [(0, n)]
-        out, start = [], 0
-        for i in range(1, count):
-            rest = count - i
-            # The pieces to come must be able to hold what is left, and this one must move on.
-            low = max(start + max(overlap + 1, (limit + 1) // 2), n - rest * (limit - overlap))
-            high = min(start + limit, n)
-            if low > high:
-                low = max(start + overlap + 1, n - rest * (limit - overlap))
-            if low > high:
-                break
-            target = min(max(start + overlap + (n - start - overlap) // (rest + 1), low), high)
-            end = best_cut(text, low, high, target)
-            if boundary_faults(text, start, end):
-                # A blank below the range is still better than a cut word; a further piece makes up for it.
-                blank = next(c for c in range(end, start + (end - start) // 2, -1) if text[c - 1].isspace())
-                end = blank if blank > start + overlap else end
-                if n - end + overlap > rest * (limit - overlap) + overlap:
-                    break
-            out.append((start, end))
-            start = end - overlap
-            if n - start <= limit:
-                out.append((start, n))
-                return out
-        count += 1
+    n, step = len(text), limit - overlap
+    if n <= limit:
+        return [(0, n)]
+    strength = strengths(text)
+    at = places(strength, limit)
+    # The furthest place that a piece can end at, from every place. A piece begins `overlap` before the end of the last one.
+    reach = np.searchsorted(at, np.minimum(at + step, n), side="right") - 1
+    count, i = 1, int(np.searchsorted(at, limit, side="right")) - 1
+    while at[i] < n:
+        i, count = max(int(reach[i]), i + 1), count + 1
+    count = max(count, least_pieces(n, limit, overlap))
+    count += count // SPARE
+    # The first place for each cut from which the pieces to come can hold the rest.
+    first, low = [n], n
+    for _ in range(count - 1):
+        low = int(at[np.searchsorted(at, low - step, side="left")])
+        first.append(low)
+    first.reverse()  # first[i]: the least end of piece i
+    out, end = [], overlap
+    for i in range(count):
+        start = next_start(end, overlap)
+        if n - start <= limit and (i >= count - 1 or n - end <= 1):
+            break
+        target = overlap + (i + 1) * (n - overlap) / count
+        lo, hi = max(first[i], end + 1), min(end + step, n - 1)
+        a, b = np.searchsorted(at, lo, side="left"), np.searchsorted(at, hi, side="right")
+        if a >= b:  # the rest is shorter than planned
+            break
+        near = max(16, step // 4)
+        c, d = np.searchsorted(at, target - near, side="left"), np.searchsorted(at, target + near, side="right")
+        if max(a, c) < min(b, d):
+            a, b = max(a, c), min(b, d)
+        found = at[a:b]
+        end = int(found[np.lexsort((np.abs(found - target), -strength[found].astype(int)))[0]])
+        out.append((start, end))
+    start = next_start(end, overlap)
+    while n - start > limit:  # only where a stretch had fewer places than planned
+        i = int(np.searchsorted(at, start + limit, side="right")) - 1
+        end = int(at[i]) if at[i] > end else start + limit
+        out.append((start, end))
+        start = next_start(end, overlap)
+    return [*out, (start, n)]
 
 
 def pieces(df: DataFrame, id_cols: list[str], text_col: str, limit_col: str, overlap_col: str) -> DataFrame:
@@ -112,50 +145,48 @@ def pieces(df: DataFrame, id_cols: list[str], text_col: str, limit_col: str, ove
     return over.select(*id_cols, F.explode(cut("_text", "_limit", "_overlap")).alias("_p")).select(*id_cols, "_p.*")
 
 
-def boundary_faults(text: str, start: int, end: int) -> bool:
-    """Whether a piece ends inside a word although the second half of its stretch has a blank."""
-    if not 0 < end < len(text) or strength_at(text, end) > 0:
-        return False
-    return any(ch.isspace() for ch in text[start + (end - start) // 2:end])
+def faults(content: str | None, stretch: str | None, start: int | None, end: int | None, after_first: bool, before_end: int | None,
+           limit: int | None, overlap: int | None) -> list[str]:
+    """What the splitter would do otherwise with a stored piece. `stretch` is the document from its start to one behind its end."""
+    out = []
+    if content is not None and limit is not None and len(content) > limit and len(split(content, limit, overlap or 0)) > 1:
+        out.append("oversize")
+    own = None
+    if stretch is not None and start is not None and end is not None:
+        own = stretch[:max(end - start, 0)]
+    if own is None or content is None or own != content or len(own) != end - start:
+        out.append("content")
+    if after_first and overlap is not None and before_end is not None and start is not None and start != next_start(before_end, overlap):
+        out.append("overlap")
+    if own and end > 0 and len(stretch) > len(own) and breaks_word(own, stretch[len(own)]):
+        out.append("midword")
+    return out
 
 
 def audit(chunks: DataFrame, documents: DataFrame, specs: DataFrame) -> DataFrame:
     """(chunk_id, fault): stored pieces that the splitter would not make.
 
-    Each stored piece is held against the splitter's own rules: it is `oversize` if the splitter needs more than one
-    piece for its content, `content` if it isn't the document's text between its positions, `overlap` if it doesn't
-    start where the splitter would start after the piece before it, and `midword` if it ends at a boundary of
-    strength 0 although a blank was in reach. A chunk_id counts once; pieces of unknown documents or with null
-    content are only `content`; chunks of an unknown strategy have no limit and no overlap to break.
+    Each stored piece goes through the splitter's own functions: it is `oversize` if `split` makes more than one piece
+    of its content, `content` if it isn't the document's text between its positions, `overlap` if it doesn't start at
+    the `next_start` of the piece before it, and `midword` if its end `breaks_word`. A chunk_id counts once; pieces of
+    unknown documents or with null content are only `content`; chunks of an unknown strategy have no limit and no
+    overlap to break.
     """
-    digest = F.unhex(F.md5(F.col("content").cast("binary")))
-    light = chunks.select(
-        "chunk_id", "document_id", "strategy", "sequence_num", "start_idx", "end_idx",
-        F.length("content").alias("n_chars"), digest.alias("digest")).dropDuplicates(["chunk_id"])
-    light = light.join(F.broadcast(specs.select("strategy", "size_limit", F.col("overlap").alias("shared"))), "strategy", "left")
-
-    before = light.select("document_id", "strategy", (F.col("sequence_num") + 1).alias("sequence_num"), F.col("end_idx").alias("before_end"))
+    known = chunks.select("chunk_id", "document_id", "strategy", "sequence_num", "start_idx", "end_idx", "content").dropDuplicates(["chunk_id"])
+    known = known.join(F.broadcast(specs.select("strategy", "size_limit", F.col("overlap").alias("shared"))), "strategy", "left")  # a fixed table
+    before = known.select("document_id", "strategy", (F.col("sequence_num") + 1).alias("sequence_num"), F.col("end_idx").alias("before_end"))
     before = before.groupBy("document_id", "strategy", "sequence_num").agg(F.max("before_end").alias("before_end"))
-    linked = light.join(before, ["document_id", "strategy", "sequence_num"], "left")
-
+    linked = known.join(before, ["document_id", "strategy", "sequence_num"], "left")
     texts = documents.select("document_id", F.col("content").alias("text")).where(F.col("document_id").isNotNull())
     joined = salted_join(linked, texts, "document_id", F.xxhash64("chunk_id"))
+    stretch = F.substring(F.col("text"), F.col("start_idx") + 1, F.col("end_idx") - F.col("start_idx") + 1)
+
+    @F.pandas_udf("array<string>")
+    def judge(content: pd.Series, stretch: pd.Series, start: pd.Series, end: pd.Series, number: pd.Series, before_end: pd.Series,
+              limit: pd.Series, overlap: pd.Series) -> pd.Series:
+        whole = lambda x: None if pd.isna(x) else int(x)
+        return pd.Series([faults(c, s, whole(a), whole(b), not pd.isna(k) and k > 0, whole(e), whole(m), whole(o))
+                          for c, s, a, b, k, e, m, o in zip(content, stretch, start, end, number, before_end, limit, overlap)])
 
-    length = F.col("end_idx") - F.col("start_idx")
-    stretch = F.substring(F.col("text"), F.col("start_idx") + 1, length)
-    joined = joined.withColumn("stretch", stretch)
-    # The splitter's count of pieces and strength of a boundary, as column expressions.
-    count = F.when(F.col("n_chars") > F.col("size_limit"), F.ceil(
-        (F.col("n_chars") - F.col("shared")) / (F.col("size_limit") - F.col("shared")))).otherwise(F.lit(1))
-    edge = F.substring(F.col("text"), F.col("end_idx"), F.lit(2))
-    inside_word = (F.col("end_idx") > 0) & edge.rlike(r"^[\p{L}\p{N}]{2}$")
-    second_half = F.substring(F.col("stretch"), (F.floor(F.length("stretch") / 2) + 1).cast("int"), length)
-    blank = second_half.rlike(r"[\s\x1c-\x1f\x85\p{Z}]")
-    same = F.coalesce(F.unhex(F.md5(F.col("stretch").cast("binary"))) == F.col("digest"), F.lit(False)) & (F.length("stretch") == length)
-    faults = F.array_compact(F.array(
-        F.when(count > 1, F.lit("oversize")),
-        F.when(~same, F.lit("content")),
-        F.when((F.col("sequence_num") > 0) & F.col("shared").isNotNull() & F.col("before_end").isNotNull()
-               & (F.col("start_idx") != F.col("before_end") - F.col("shared")), F.lit("overlap")),
-        F.when(inside_word & blank, F.lit("midword"))))
-    return joined.select("chunk_id", F.explode(faults).alias("fault"))
+    found = judge("content", stretch, "start_idx", "end_idx", "sequence_num", "before_end", "size_limit", "shared")
+    return joined.select("chunk_id", F.explode(found).alias("fault"))
