@@ -113,7 +113,7 @@ _REFUSALS = re.compile("|".join((
     r"\b(?:context|passages?|text|documents?|information|source)s? (?:provided |given )?(?:says?|said|mentions?|gives?|contains?|has|have) (?:nothing|no information|no mention)\b",
     r"\b(?:context|passages?|text|documents?|information)s? (?:do(?:es)? not|doesn['’]t|don['’]t) (?:mention|say|contain|include|provide|cover|state|answer)\b",
     r"\b(?:there is |there['’]s )?(?:not enough|insufficient|no) information\b[^.]{0,40}\b(?:answer|context|text|passage|given|provided)",
-    r"^(?:it is |it['’]s )?(?:unable|impossible|not possible) to (?:determine|answer|say|tell|know)\b", r"\bcannot be (?:determined|answered) from\b", r"\bi will not guess\b",
+    r"^(?:it is |it['’]s )?(?:unable|impossible|not possible) to (?:determine|answer|say|tell|know)\b", r"\b(?:this|that|it|the (?:answer|question)|which)\s+cannot be (?:determined|answered) from\b", r"^cannot be (?:determined|answered)\b", r"\bcannot be (?:determined|answered) from (?:the |this |these |given )*(?:context|passage|text|document|information|source)", r"\bi will not guess\b",
     r"(?:모르겠|알지 못|알 수 없)(?:습니다|어요|네요|다)", r"(?:답변|대답|답|말씀|안내|조언|도움)(?:을|를|은|는|도|이|가)? ?(?:드릴|할|해 드릴|드리거나|줄) ?(?:수|권한)(?:가|는|도|이)? ?없",
     r"(?:답변|대답|말씀)(?:을|를|은|는)? ?(?:드리|하|제공하)(?:지|기)(?:는|가)? ?(?:못|않겠|어렵|곤란)", r"답변(?:을|은)? ?제공하지 않", r"대답하기 (?:어렵|곤란)", r"말씀드리지 못",
     r"(?:안내|답변|말)(?:을|를)? ?할 권한(?:이|은)? ?없", r"(?:다룰|답할|말할|도울) 수 있는 범위(?:를|가|에서)? ?(?:벗어|아닙)", r"(?:문맥|문서|지문|본문|자료)에(?:는|서는)? ?(?:[가-힣]+ ){0,2}(?:정보|내용|언급)(?:가|이|은|는)? ?없",
@@ -121,13 +121,51 @@ _REFUSALS = re.compile("|".join((
 )), re.I)
 
 
+def _rule(*parts: str) -> str:
+    """A sentence form: its parts in order, with blanks or nothing between them."""
+    return r"\s*".join(parts)
+
+
+def _any(text: str) -> str:
+    return "(?:" + "|".join(w.replace(" ", r"\s+").replace("'", "['’]") for w in text.split("|")) + ")"
+
+
+# The grammar of refusals. Its word classes. A refusal is (lead) speaker x lacking ability x act of answering,
+# (lead) speaker x lacking knowledge, or source x lacking x answer; the object stays open.
+_EN = {
+    "lead": r"^(?:(?:(?:i['’]m|i am|we['’]re|we are)\s+)?(?:(?:very|so|really|truly)\s+)?(?:afraid|sorry|unfortunately|regrettably|sadly|apologies|alas|no)\b[,.:]?\s*(?:but\s+|that\s+)?)?",
+    "speaker": _any("i|we|this assistant|the assistant"),
+    "unable": _any("cannot|can't|can not|could not|couldn't|won't|will not|would not|am unable to|are unable to|'m unable to|'re unable to|am not able to|are not able to|'m not able to|'re not able to|"
+                   "am not allowed to|are not allowed to|am not in a position to|don't feel able to|must decline to|have to decline to|refuse to|decline to"),
+    "act": _any("answer|respond|reply|help|assist|say|tell|comment|provide|give|share|disclose|discuss|offer|advise|determine|confirm|find|speculate|guess"),
+    "unknowing": _any("have no idea|have no clue|have no answer|have no information|have no knowledge|do not know|don't know|am not sure what|wouldn't know|would not know|could not say|couldn't say"),
+    "source": r"(?:the|this|that|your|my|our|these|those)?\s*(?:given\s+|provided\s+)?(?:context|passage|text|document|source|information|material|excerpt|article|note)s?",
+    "lacking": _any("gives no|give no|has no|have no|contains no|contain no|holds no|hold no|offers no|offer no|provides no|provide no|lacks an|lack an|lacks the|does not give an|does not hold an|doesn't give an|doesn't hold an"),
+}
+_GRAMMAR = re.compile("|".join((
+    _rule(_EN["lead"], _EN["speaker"], _EN["unable"], _EN["act"]) + r"\b",
+    _rule(_EN["lead"], _EN["speaker"], r"(?:really\s+|honestly\s+)?", _EN["unknowing"]) + r"\b",
+    _rule(_EN["lead"], _EN["source"], _EN["lacking"], "(?:answer|information|details?|mention)") + r"\b",
+    r"^(?:that|this|it)(?:['’]s|\s+is)\s+(?:not\s+(?:something|a\s+(?:question|topic|matter))|nothing)\s+(?:that\s+)?(?:i|we)\s+(?:can|could|am able to|are able to)\s+" + _EN["act"] + r"\b",
+    r"^no\s+(?:clue|idea)\s*(?:[,.!]|$|about\b|sorry\b)", r"^(?:i|we)\s+wish\s+(?:i|we)\s+could\s+" + _EN["act"] + r"\b.{0,40}\bbut\b",
+    # German, French, Japanese, Chinese: the same three forms.
+    r"^(?:(?:leider|entschuldigung|es tut mir leid|tut mir leid|verzeihung)[,.]?\s*(?:aber\s+)?)?(?:das\s+)?(?:kann|können|darf|dürfen)\s+(?:ich|wir)\b[^.]{0,60}\b(?:nicht|keine?)\b[^.]{0,30}\b(?:beantworten|antworten|helfen|sagen|geben|mitteilen)",
+    r"^(?:(?:leider|entschuldigung|es tut mir leid|tut mir leid)[,.]?\s*(?:aber\s+)?)?(?:ich|wir)\s+(?:kann|können|darf|dürfen)\b[^.]{0,60}\b(?:nicht|keine?)\b[^.]{0,30}\b(?:beantworten|antworten|helfen|sagen|geben|mitteilen)",
+    r"^(?:leider\s+)?(?:das\s+)?weiß\s+ich\s+(?:leider\s+)?nicht\b", r"^ich\s+weiß\s+(?:es|das)?\s*(?:leider\s+)?nicht\b",
+    r"^(?:désolée?|malheureusement|je regrette|navrée?)?[,.]?\s*(?:mais\s+)?(?:je|nous)\s+ne\s+(?:peux|pouvons|puis|suis|sommes)\s+(?:malheureusement\s+)?pas\b[^.]{0,40}\b(?:répondre|aider|dire|donner|fournir)",
+    r"^(?:désolée?[,.]?\s*)?je\s+ne\s+sais\s+pas\b",
+    r"(?:お答え|回答|お伝え|お手伝い|お話し|ご案内)(?:することは|することが|は|を|が)?(?:でき(?:ません|ない|かねます)|いたしかねます|しかねます)", r"^(?:申し訳(?:ありません|ございません)が?[、。]?)?(?:わかりません|分かりません|存じません|知りません)",
+    r"(?:无法|不能|不便|难以)(?:为您|为你|对此|就此)?(?:回答|答复|提供|告知|作答|帮助)", r"^(?:抱歉|对不起|很遗憾)?[，,。]?\s*我(?:也)?不(?:知道|清楚|了解)",
+)), re.I)
+
+
 def is_refusal(question: str | None, answer: str) -> bool:
     """Declines, or claims not to know. Only the first sentences count, behind labels and a repeated question."""
     text = bare(answer)
     if question and text.startswith(question):
         text = bare(text[len(question):])
     for _ in range(2):
-        if _REFUSALS.search(text):
+        if _REFUSALS.search(text) or _GRAMMAR.search(text):
             return True
         text = bare(text)
     return False
@@ -140,6 +178,9 @@ _COMMON = {
     "fr": frozenset("le la les des est et un une dans pour que qui sur avec pas par du au aux ne sont été plus cette ce il elle nous vous".split()),
     "es": frozenset("el la los las de del y en un una por con para que se no es fue son está falta como más su al sin".split()),
     "it": frozenset("il lo gli le di del della e un una per con che non è sono nel alla da si".split()),
+    "nl": frozenset("de het een en van is niet dat die op te zijn met voor aan er ook als bij maar om uit door over nog naar wordt werd heeft deze dit hij zij wij".split()),
+    "sv": frozenset("och att det som en ett är på av för med inte den till om har de var jag men eller vid från kan efter".split()),
+    "pl": frozenset("i w na nie się jest z do to że o jak po od za przez dla był była są oraz ale".split()),
     "pt": frozenset("o a os as de do da e um uma por com para que se não é foi são no na".split()),
 }
 # Ways in which a question asks for a word of another language.

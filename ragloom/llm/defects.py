@@ -23,10 +23,9 @@ from ragloom.llm import answer_checks as checks
 from ragloom.operators.durable import durable
 from ragloom.operators.skew import salted_join
 
-#: A pair of last words that is seen at least SEEN times is open if it ends fewer than PAIR_ENDS of them; a last word
-#: is judged alike by WORD_ENDS. Pair and word are looked up among texts of the same kind first (short ones have up to
-#: SHORT words), then among all. A word that only ends texts is a fragment of FRAGMENT times as many longer ones.
-SEEN, PAIR_ENDS, WORD_ENDS, SHORT, FRAGMENT = 20, 0.05, 0.02, 4, 20
+#: A text is open where its last words end fewer than ENDS of the texts they are seen in. More general counts weigh as much as
+#: PRIOR sightings. Short texts have up to SHORT words. A word that only ends texts is a fragment of FRAGMENT times as many longer ones.
+ENDS, PRIOR, SHORT, FRAGMENT = 0.05, 2.0, 4, 20
 
 
 def visible_defect(question: str | None, language: str | None, answer: str | None) -> str | None:
@@ -73,27 +72,34 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def open_endings(counts: DataFrame) -> DataFrame:
-    """(before, last, short) of word pairs at which a text without closing mark breaks off."""
-    total = lambda df, keys, name: df.groupBy(*keys).agg(*[F.sum(c).alias(f"{name}{c}") for c in ("n", "stops", "bare")])
-    kinds = total(counts, ["before", "last", "short"], "k_")
-    pairs = total(counts, ["before", "last"], "")
-    kind_words = total(counts, ["last", "short"], "kw_")
-    words = total(counts, ["last"], "w_")
+    """(before, last, short) of word pairs at which a text without closing mark breaks off.
+
+    The share of a pair's or word's sightings that end a text is estimated from its own counts and, with the weight of
+    PRIOR sightings, from the next more general counts: pair in texts of the kind, word in texts of the kind, pair, word, all
+    words. So one more row never switches from one rule to another.
+    """
+    total = lambda df, keys, name, own="": df.groupBy(*keys).agg(*[F.sum(f"{own}{c}").alias(f"{name}{c}") for c in ("n", "stops", "bare")])
+    kinds = durable(total(counts, ["before", "last", "short"], "k_"))  # the raw counts are read once
+    pairs = total(kinds, ["before", "last"], "", "k_")
+    kind_words = total(kinds, ["last", "short"], "kw_", "k_")
+    words = total(pairs, ["last"], "w_")
+    lengths = kinds.where("k_bare > 0").agg(F.array_sort(F.collect_set(F.length("last"))).alias("lengths"))  # one row, a number a length
 
     def longer(df: DataFrame, keys: list[str], n: str, name: str) -> DataFrame:
-        """How often longer words begin with a word, in the same place."""
-        heads = F.transform(F.sequence(F.lit(1), F.greatest(F.length("last") - 1, F.lit(1))), lambda k: F.substring("last", F.lit(1), k))
-        return df.select(*keys, F.explode(heads).alias("head"), "last", n).where(F.col("head") != F.col("last")).groupBy(
-            *keys, F.col("head").alias("last")).agg(F.sum(n).alias(name))
+        """How often longer words begin with a word, in the same place; only beginnings as long as some last word."""
+        shorter = F.filter("lengths", lambda k: k < F.length("last"))
+        heads = F.transform(shorter, lambda k: F.substring("last", F.lit(1), k))
+        return df.crossJoin(F.broadcast(lengths)).select(*keys, F.explode(heads).alias("head"), n).groupBy(*keys, F.col("head").alias("last")).agg(F.sum(n).alias(name))
 
-    ending = (kinds.where("k_bare > 0").join(pairs, ["before", "last"]).join(kind_words, ["last", "short"]).join(words, "last")
+    everything = words.agg(((F.sum("w_stops") + F.sum("w_bare")) / F.sum("w_n")).alias("base"))  # one row
+    ending = (kinds.where("k_bare > 0").join(pairs, ["before", "last"]).join(kind_words, ["last", "short"]).join(words, "last").crossJoin(F.broadcast(everything))
               .join(longer(words, [], "w_n", "w_longer"), "last", "left").join(longer(pairs, ["before"], "n", "longer"), ["before", "last"], "left"))
     fragment = ((F.col("w_n") == F.col("w_bare")) & (F.coalesce("w_longer", F.lit(0)) >= FRAGMENT * F.col("w_n"))
                 | (F.col("n") == F.col("bare")) & (F.coalesce("longer", F.lit(0)) >= FRAGMENT * F.col("n")))
-    rare = lambda name, least: F.col(f"{name}stops") + F.col(f"{name}bare") < least * F.col(f"{name}n")
-    judged = (F.when(F.col("k_n") >= SEEN, rare("k_", PAIR_ENDS)).when(F.col("kw_n") >= SEEN, rare("kw_", WORD_ENDS))
-              .when(F.col("n") >= SEEN, rare("", PAIR_ENDS)).when(F.col("w_n") >= SEEN, rare("w_", WORD_ENDS)).otherwise(F.lit(False)))
-    return ending.where(fragment | judged).select("before", "last", "short")
+    share = F.col("base")
+    for name in ("w_", "", "kw_", "k_"):
+        share = (F.col(f"{name}stops") + F.col(f"{name}bare") + PRIOR * share) / (F.col(f"{name}n") + PRIOR)
+    return ending.where(fragment | (share < ENDS)).select("before", "last", "short")
 
 
 def defects(pairs: DataFrame) -> DataFrame:

@@ -213,3 +213,45 @@ def test_alignment_joined_table_has_the_weights_of_all_words(spark, monkeypatch)
                                   "left_id string, right_id string, left_text string, right_text string, left_lang string, right_lang string")
     sent, joined = ({tuple(r) for r in alignment.align(pairs, [], n).collect()} for n in (10, 0))
     assert sent == joined == {("a", "b", 0, 0), ("c", "d", 0, 0)}
+
+
+@pytest.mark.parametrize("answer,refuses", [
+    ("I'm afraid I can't help with that.", True), ("I am afraid that I cannot answer this.", True), ("That is not something I can help with.", True), ("I have no idea.", True),
+    ("No clue, sorry.", True), ("I wish I could tell you, but I can't.", True), ("We're unable to provide this.", True), ("The passage gives no answer to that.", True),
+    ("Das kann ich leider nicht beantworten.", True), ("Ich weiß es nicht.", True), ("Je ne peux pas répondre à cette question.", True),
+    ("申し訳ありませんが、お答えできません。", True), ("抱歉，我无法回答这个问题。", True), ("This cannot be determined from the context.", True),
+    ("Patients cannot be determined from age.", False), ("Patients cannot help coughing.", False), ("No idea was better than rest.", False),
+    ("We found that the clinic cannot provide beds.", False), ("Unfortunately the clinic closed.", False)])
+def test_refusals(answer, refuses):
+    assert answer_checks.is_refusal("q?", answer) is refuses
+
+
+def test_answers_in_another_latin_language():
+    assert answer_checks.is_wrong_language("Wie lange soll man sich ausruhen?", "de", "The patient should rest for six days in bed.")
+    assert answer_checks.is_wrong_language("How long should one rest?", "en", "De patiënt moet zes dagen in het bed blijven en niet opstaan.")
+    assert not answer_checks.is_wrong_language("How long should one rest?", "en", "Six days")
+
+
+def test_long_tokens_stay_linear(spark):
+    kind = "side string, id string, question string, language string, answer string"
+    took = []
+    for size in (100, 100, 40_000):
+        df = spark.createDataFrame([("query", str(i), "what is it", "en", "x" * (size + i)) for i in range(3)] + [("query", "e", "why", "en", None)], kind)
+        began = time.time()
+        assert {r["id"]: r["defect"] for r in defects.defects(df).collect()}["e"] == "empty"
+        took.append(time.time() - began)
+    assert took[2] < took[1] + 5, took
+
+
+def test_pieces_are_few_balanced_and_fast():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 10))) for _ in range(500)]
+    text = "".join(rng.choice(words) + (rng.choice([". ", ", ", "\n\n"]) if rng.random() < 0.1 else " ") for _ in range(36_000))
+    began = time.time()
+    found = splitting.split(text, 200, 50)
+    assert time.time() - began < 5
+    assert len(found) <= 1.05 * splitting.least_pieces(len(text), 200, 50)
+    assert not any(splitting.boundary_faults(text, a, b) for a, b in found)
+    slashes = "/".join(words * 30)
+    for limit in (4000, 9000, 20_000):
+        assert not any(splitting.inside_word(slashes[b - 1], slashes[b]) for _, b in splitting.split(slashes, limit)[:-1])
