@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.operators.durable import durable
-from ragloom.operators.skew import salted_join
+from ragloom.operators.skew import HOT_ROWS, SALTS, salted_join
 
-# Letters of other scripts drawn like a Latin letter.
+# Letters of other scripts (Greek, Cyrillic, Armenian, Cherokee) and Latin variants drawn like a Latin letter.
 SAME_SHAPES = {
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀ", "J": "Ј", "K": "КΚ", "M": "МΜ", "N": "Ν",
-    "O": "ОΟ", "P": "РΡ", "Q": "Ԛ", "S": "Ѕ", "T": "ТΤ", "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
-    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "јϳ", "o": "оο", "p": "р", "q": "ԛ",
-    "s": "ѕ", "v": "ѵν", "w": "ԝ", "x": "х", "y": "у",
+    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈᎫ", "K": "КΚᏦ", "L": "ԼᏞ", "M": "МΜᎷ", "N": "Ν",
+    "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "R": "ᎡᏒ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Ս", "V": "ᏙѴ", "W": "ԜᎳ", "X": "ХΧ", "Y": "ҮΥ", "Z": "ΖᏃ",
+    "a": "аαɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "і", "j": "јϳ", "k": "κ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ",
+    "s": "ѕ", "u": "υս", "v": "ѵν", "w": "ԝ", "x": "х", "y": "у",
 }
 # Marks drawn alike.
 SAME_MARKS = {"-": "\u2010\u2011"}
@@ -52,7 +52,8 @@ def look_alike_pairs() -> Iterator[tuple[str, str]]:
             yield "", ch
         else:
             form = unicodedata.decomposition(ch)
-            if form.startswith(("<wide>", "<narrow>")) or 0xFB00 <= code <= 0xFB06:
+            # Width forms, ligatures, Roman numerals, and letters in the styles of mathematics.
+            if form.startswith(("<wide>", "<narrow>", "<font>")) or 0xFB00 <= code <= 0xFB06 or 0x2160 <= code <= 0x217F:
                 yield unicodedata.normalize("NFKD", ch), ch
 
 
@@ -153,9 +154,10 @@ def learned_rewrites(df: DataFrame, text_col: str) -> dict[str, str]:
 def consistent_form(df: DataFrame, text_col: str, out_col: str, table: dict[str, str]) -> DataFrame:
     """df with the consistent form of `text_col` in `out_col`."""
     @F.pandas_udf("string")
-    def rewrite(texts: pd.Series) -> pd.Series:
-        rewriter = Rewriter(table)
-        return texts.map(lambda t: rewriter(t) if isinstance(t, str) else None)
+    def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rewriter = Rewriter(table)  # one automaton a task
+        for texts in batches:
+            yield texts.map(lambda t: rewriter(t) if isinstance(t, str) else None)
 
     return df.withColumn(out_col, rewrite(F.col(text_col)))
 
@@ -163,26 +165,31 @@ def consistent_form(df: DataFrame, text_col: str, out_col: str, table: dict[str,
 def form_keys(df: DataFrame, id_col: str, text_col: str, table: dict[str, str]) -> DataFrame:
     """(id, form, text): 128-bit keys of the consistent form and of the text itself."""
     @F.pandas_udf("binary")
-    def key(texts: pd.Series) -> pd.Series:
-        rewriter = Rewriter(table)
-        return texts.map(lambda t: hashlib.blake2b(rewriter(t).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                         if isinstance(t, str) else None)
+    def key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rewriter = Rewriter(table)  # one automaton a task
+        for texts in batches:
+            yield texts.map(lambda t: hashlib.blake2b(rewriter(t).encode("utf-8", "surrogatepass"), digest_size=16).digest() if isinstance(t, str) else None)
 
     return df.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), key(F.col(text_col)).alias("form"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("text"))
 
 
-def look_alike_pairs_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def look_alike_pairs_of(df: DataFrame, id_col: str, text_col: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id_a, id_b), a < b: rows whose texts have one consistent form but differ in characters.
 
-    Only forms with at least two different texts are joined, and copies of one text are not paired with each other.
+    Only forms with at least two different texts are joined, and copies of one text are not paired with each other. The
+    rows of a form with very many are spread over salts on one side and repeated for each salt on the other.
     """
     keys = durable(form_keys(df, id_col, text_col, learned_rewrites(df, text_col)))
-    mixed = keys.groupBy("form").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("form")
-    found = keys.join(mixed, "form", "left_semi")
-    a, b = found.alias("a"), found.alias("b")
-    return a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.text") != F.col("b.text"))
-                  ).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    mixed = keys.groupBy("form").agg(F.min("text").alias("low"), F.max("text").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select(
+        "form", (F.col("n") >= hot_rows).alias("hot"))
+    found = durable(salted_join(keys, mixed, "form", F.xxhash64("id"), "inner"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("hot"), F.array(*[F.lit(i) for i in range(SALTS)])).otherwise(F.array(F.lit(0)))
+    a, b = found.withColumn("salt", salt).alias("a"), found.withColumn("salt", F.explode(salts)).alias("b")
+    same = (F.col("a.form") == F.col("b.form")) & (F.col("a.salt") == F.col("b.salt"))
+    return a.join(b, same & (F.col("a.id") < F.col("b.id")) & (F.col("a.text") != F.col("b.text"))).select(
+        F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
 
 
 def look_alike_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -152,3 +152,13 @@ def test_look_alikes(spark):
     form = lookalikes.consistent_form(df, "text", "clean", lookalikes.learned_rewrites(df, "text"))
     assert {r["clean"] for r in form.where("doc_id < 5").collect()} == {base} and form.where("doc_id = 9").first()["clean"] is None
     assert lookalikes.look_alike_pairs_of(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_letters_of_other_scripts_and_a_hot_form(spark):
+    rewriter = lookalikes.Rewriter(lookalikes.rewrites(lookalikes.classes(), {}))
+    for latin, others in {"a": "αа𝐚𝑎𝖆", "p": "ρр", "u": "υս", "k": "κ", "o": "օοо", "A": "ᎪАΑ", "g": "ɡℊ", "l": "ⅼℓ", "V": "Ⅴ", "III": ["Ⅲ"]}.items():
+        assert all(rewriter(x) == latin for x in others), latin
+    assert [rewriter(x) for x in ("²", "①", "İ", "ø")] == ["²", "①", "İ", "ø"]
+    df = spark.createDataFrame([(i, "сope" if i % 2 else "cope") for i in range(60)] + [(100, "other"), (101, None)], "doc_id bigint, text string")
+    for hot in (10, 10_000):
+        assert lookalikes.look_alike_pairs_of(df, "doc_id", "text", hot).count() == 900
