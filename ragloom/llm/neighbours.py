@@ -2,13 +2,18 @@
 
 Every vector is sent once to each of a few hash tables. In a table, coarse p-stable functions place it in a group;
 a group with too many rows is divided by further functions. A group that is too large under all functions is split
-into blocks and every two blocks meet, so all its rows meet and no task ever holds a group that grows with the data. Within its group a vector visits its own bucket and the perturbed
-buckets in the order of their estimated success, and all vectors met are ranked by their exact similarity. The
-lists of the tables are merged.
-
-Similarity is the cosine. Defined results: null vectors, vectors of length zero and vectors with a part that isn't
-finite, or of another length than most, have no neighbours and are nobody's; an id counts once, with any one of its rows; equal similarities are
-ordered by id; fewer than k other vectors give fewer neighbours.
+into blocks and every two blocks meet, so all its rows meet and no task ever holds a group that grows with the data.
+
+Within its group a vector visits its own bucket and the perturbed buckets in the order of their estimated success. The
+distance of the k-th vector met gives the chance that a vector as near lies in one of the visited buckets; where it is
+below PROBED, all buckets of the group are visited. All vectors met are ranked by their similarity, and the lists of the
+tables are merged. Where the chances of all tables together stay below TARGET, as for vectors without near neighbours or
+in a wide cluster that the functions cut, the vector is compared with all others.
+
+Similarity is the cosine; vectors travel as 16-bit parts of their largest component, an error below 0.00001. Defined
+results: null vectors, vectors of length zero and vectors with a part that isn't finite, or of another length than most,
+have no neighbours and are nobody's; an id counts once, with any one of its rows; equal similarities are ordered by id;
+fewer than k other vectors give fewer neighbours.
 """
 
 from __future__ import annotations
@@ -21,6 +26,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from ragloom.operators import retrieval
+from ragloom.operators.durable import durable
 
 
 @dataclass(frozen=True)
@@ -38,6 +47,8 @@ class Settings:
     seed: int = 11
 
 
+#: Chance of meeting a neighbour from which a group is not searched further, and from which a vector is done.
+PROBED, TARGET = 0.5, 0.9
 #: Coarse functions used at each level; beyond the last level groups are joined in blocks.
 LEVELS = (1, 2, 3, 4, 6, 8, 12)
 
@@ -72,17 +83,43 @@ def level_keys(y: np.ndarray, b: np.ndarray, r: np.ndarray, s: Settings) -> np.n
     return out
 
 
-def group_keys(keys: np.ndarray, hot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The first key that isn't hot, and which rows have none: these keep their last key."""
-    out = keys[:, -1].copy()
+def group_keys(keys: np.ndarray, hot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first key that isn't hot, its level, and which rows have none: these keep their last key."""
+    out, level = keys[:, -1].copy(), np.full(len(keys), keys.shape[1] - 1, np.int8)
     todo = np.ones(len(keys), bool)
     for j in range(keys.shape[1]):
         still = todo.copy()
         still[todo] = np.isin(keys[todo, j], hot[j])
         done = todo & ~still
-        out[done] = keys[done, j]
+        out[done], level[done] = keys[done, j], j
         todo = still
-    return out, todo
+    return out, level, todo
+
+
+def pack(x: np.ndarray) -> list[bytes]:
+    """Rows as a scale and 16-bit parts of it."""
+    scale = np.abs(x).max(axis=1, keepdims=True).astype(np.float32)
+    parts = np.rint(x / scale * 32767).astype(np.int16)
+    return [a.tobytes() + b.tobytes() for a, b in zip(scale, parts)]
+
+
+def unpack(packed: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
+    x = np.ascontiguousarray(raw[:, 4:]).view(np.int16).astype(np.float32) * (np.ascontiguousarray(raw[:, :4]).view(np.float32) / np.float32(32767))
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def normal(z: np.ndarray) -> np.ndarray:
+    """Distribution function of the normal distribution, to about 0.0002."""
+    z = np.clip(z, -8, 8)
+    return 1 / (1 + np.exp(-(1.5976 * z + 0.070566 * z**3)))
+
+
+def chances(part: np.ndarray, d: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each function, the chance that a vector at distance d lies in the same cell, in the one below, in the one above."""
+    r = (width / np.maximum(d, 1e-6))[:, None]
+    low, high = normal(-part * r), normal((1 - part) * r)
+    return high - low, low - normal((-1 - part) * r), normal((2 - part) * r) - high
 
 
 def block_pairs(group: np.ndarray, blocks: np.ndarray, salt: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -115,33 +152,39 @@ def probe_sets(m: int, count: int) -> list[tuple[int, ...]]:
     return out
 
 
-def search(ids: np.ndarray, x: np.ndarray, table: np.ndarray, group: np.ndarray, s: Settings,
-           block: int = 4096, pair_block: int = 120_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, other row, similarity) of the k best others of each row among the buckets it visits in its own group."""
-    n, m = len(x), s.fine_functions
-    own = np.zeros(n, np.int64)
-    jump = np.zeros((n, 2 * m), np.int64)
+def search(ids: np.ndarray, x: np.ndarray, table: np.ndarray, group: np.ndarray, level: np.ndarray, s: Settings,
+           block: int = 4096, pair_block: int = 120_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, other row, similarity) of the k best others of each row met in its own group, with rows and their chances."""
+    n, m, c0 = len(x), s.fine_functions, s.coarse_functions
+    own, jump = np.zeros(n, np.int64), np.zeros((n, 2 * m), np.int64)
+    part, order, coarse = np.zeros((n, m), np.float32), np.zeros((n, 2 * m), np.int16), np.zeros((n, c0), np.float32)
     for t in np.unique(table):
         at = np.flatnonzero(table == t)
         a, b, r = functions_of(int(t), x.shape[1], s)
-        c = s.coarse_functions
-        y = x[at] @ a[:, c:] / np.float32(s.fine_width) + b[c:]
+        y = x[at] @ a
+        z = y[:, :c0] * np.float32(1 / s.coarse_width) + b[:c0]
+        coarse[at] = z - np.floor(z)
+        y = y[:, c0:] / np.float32(s.fine_width) + b[c0:]
         cell = np.floor(y)
-        part = y - cell
+        part[at] = y - cell
         with np.errstate(over="ignore"):
-            own[at] = (cell.astype(np.int64) * r[c:]).sum(axis=1) + group[at] * 31 + int(t) * 1_000_003
-        near = np.concatenate([part, 1 - part], axis=1)  # distance to the border below and above
-        order = np.argsort(near, axis=1, kind="stable")
-        step = np.concatenate([-r[c:], r[c:]])
-        jump[at] = step[order]
+            own[at] = (cell.astype(np.int64) * r[c0:]).sum(axis=1) + group[at] * 31 + int(t) * 1_000_003
+        near = np.concatenate([part[at], 1 - part[at]], axis=1)  # distance to the border below and above
+        order[at] = np.argsort(near, axis=1, kind="stable")
+        jump[at] = np.concatenate([-r[c0:], r[c0:]])[order[at]]
     sets = [()] + probe_sets(m, s.probes)
     by_bucket = np.argsort(own, kind="stable")
-    sorted_own = own[by_bucket]
-    buckets, first = np.unique(sorted_own, return_index=True)
+    buckets, first = np.unique(own[by_bucket], return_index=True)
     last = np.append(first[1:], n)
+    used = np.array(LEVELS)[level]
+    with np.errstate(over="ignore"):
+        whole = group * 31 + table.astype(np.int64) * 7_368_787
+    by_group = np.argsort(whole, kind="stable")
+    groups, g_first = np.unique(whole[by_group], return_index=True)
+    g_last = np.append(g_first[1:], n)
     for lo in range(0, n, block):
         rows = np.arange(lo, min(n, lo + block))
-        qs, cs = [], []
+        qs, cs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for ranks in sets:
             key = own[rows].copy()
             with np.errstate(over="ignore"):
@@ -150,26 +193,64 @@ def search(ids: np.ndarray, x: np.ndarray, table: np.ndarray, group: np.ndarray,
             at = np.searchsorted(buckets, key)
             at[at == len(buckets)] = 0
             hit = np.flatnonzero(buckets[at] == key)
-            if not len(hit):
-                continue
             start, size = first[at[hit]], last[at[hit]] - first[at[hit]]
             q = np.repeat(rows[hit], size)
-            c = by_bucket[np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
+            c = by_bucket[np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(int), size) + np.arange(size.sum())] if len(hit) else q
             other = q != c
             qs.append(q[other])
             cs.append(c[other])
-        if not qs:
-            continue
         q, c = np.concatenate(qs), np.concatenate(cs)
         sim = np.empty(len(q), np.float32)
         for i in range(0, len(q), pair_block):
-            part_ = slice(i, i + pair_block)
-            sim[part_] = np.einsum("ij,ij->i", x[q[part_]], x[c[part_]])
-        order = np.lexsort((c, -sim, q))  # rows are in the order of their ids
-        q, c, sim = q[order], c[order], sim[order]
-        begin = np.searchsorted(q, q, side="left")
-        best = np.arange(len(q)) - begin < s.k
-        yield q[best], c[best], sim[best]
+            some = slice(i, i + pair_block)
+            sim[some] = np.einsum("ij,ij->i", x[q[some]], x[c[some]])
+        q, c, sim = _best(q, c, sim, s.k)
+        d = _kth_distance(rows, q, sim, s.k)
+        same, below, above = chances(part[rows], d, s.fine_width)
+        ratio = np.take_along_axis(np.concatenate([below, above], axis=1) / np.maximum(np.concatenate([same, same], axis=1), 1e-9), order[rows].astype(int), axis=1)
+        met = sum(np.prod(ratio[:, [j - 1 for j in ranks]], axis=1) if ranks else np.ones(len(rows)) for ranks in sets) * same.prod(axis=1)
+        rest = rows[~(met >= PROBED) | ~np.isfinite(d)]
+        if len(rest):  # all buckets of their groups
+            keep = ~np.isin(q, rest)
+            parts = [(q[keep], c[keep], sim[keep])]
+            at = np.searchsorted(groups, whole[rest])
+            for g in np.unique(at):
+                own_rows, members = rest[at == g], by_group[g_first[g]:g_last[g]]
+                for i in range(0, len(own_rows), 512):
+                    parts.append(_of_group(own_rows[i:i + 512], members, x, s.k))
+            q, c, sim = (np.concatenate(p) for p in zip(*parts))
+            q, c, sim = _best(q, c, sim, s.k)
+            met[np.isin(rows, rest)] = 1.0
+            d = _kth_distance(rows, q, sim, s.k)
+        keep, _, _ = chances(coarse[rows], np.where(np.isfinite(d), d, 4.0), s.coarse_width)
+        chance = np.where(np.arange(c0) < used[rows][:, None], keep, 1.0).prod(axis=1) * np.clip(met, 0, 1)
+        yield q, c, sim, rows, np.where(np.isfinite(d), chance, 0.0)
+
+
+def _best(q: np.ndarray, c: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, one after another."""
+    order = np.lexsort((c, -sim, q))  # rows are in the order of their ids
+    q, c, sim = q[order], c[order], sim[order]
+    best = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+    return q[best], c[best], sim[best]
+
+
+def _kth_distance(rows: np.ndarray, q: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
+    """Distance of the k-th of each row's list; infinite where it is shorter."""
+    at = np.searchsorted(q, rows, side="right")
+    full = at - np.searchsorted(q, rows, side="left") >= k
+    out = np.full(len(rows), np.inf, np.float32)
+    out[full] = np.sqrt(np.maximum(2 - 2 * sim[at[full] - 1], 0))
+    return out
+
+
+def _of_group(rows: np.ndarray, members: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best others of some rows among all members of their group, with all ties of the k-th."""
+    scores = x[rows] @ x[members].T
+    scores[rows[:, None] == members[None, :]] = -2
+    cut = np.partition(scores, -k, axis=1)[:, -k] if len(members) > k else np.full(len(rows), -1.5, np.float32)
+    i, j = np.nonzero((scores >= cut[:, None]) & (scores > -1.5))
+    return rows[i], members[j], scores[i, j]
 
 
 def _group_counts(vec_col: str, s: Settings):
@@ -196,34 +277,37 @@ def _route(id_col: str, vec_col: str, hot, s: Settings):
                 continue
             ids = batch[id_col].iloc[at].to_numpy()
             salt = (pd.util.hash_array(ids.astype(object), categorize=False) % np.uint64(1 << 20)).astype(np.int64)
-            packed = [v.tobytes() for v in x]
+            packed = pack(x)
             for t in range(s.tables):
                 a, b, r = functions_of(t, x.shape[1], s)
                 keys = level_keys(x @ a[:, :s.coarse_functions], b[:s.coarse_functions], r, s)
                 lists = [hot.value.get((t, j), np.zeros(0, np.int64)) for j in range(len(LEVELS))]
-                group, large = group_keys(keys, lists)
+                group, level, large = group_keys(keys, lists)
                 alone, split = np.flatnonzero(~large), np.flatnonzero(large)
                 blocks = hot.value["blocks"][t][np.searchsorted(lists[-1], group[split])] if len(split) else np.zeros(0, np.int64)
+                weight = np.ones(len(x), np.float32)
+                weight[split] = 1 / np.maximum(blocks - 1, 1)  # a row of blocks is searched once for each other block
                 for at_, g in [(alone, group[alone])] + [(split[i], g) for i, g in block_pairs(group[split], blocks, salt[split])]:
-                    yield pd.DataFrame({"t": np.int32(t), "g": g, "id": ids[at_], "vec": [packed[i] for i in at_]})
+                    yield pd.DataFrame({"t": np.int32(t), "g": g, "lv": level[at_], "w": weight[at_], "id": ids[at_], "vec": [packed[i] for i in at_]})
 
     return run
 
 
 def _search(s: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
+        parts = list(batches)  # about 40,000 rows of 16-bit vectors
         if not parts:
             return
         rows = pd.concat(parts, ignore_index=True).drop_duplicates(["t", "g", "id"]).sort_values("id", ignore_index=True)
         parts.clear()
         if not len(rows):
             return
-        x = np.frombuffer(b"".join(rows["vec"]), np.float32).reshape(len(rows), -1)
-        ids = rows["id"].to_numpy()
-        for q, c, sim in search(ids, x, rows["t"].to_numpy(), rows["g"].to_numpy(), s):
-            edge = np.flatnonzero(np.diff(q, prepend=-1))
-            yield pd.DataFrame({"id": ids[q[edge]], "others": np.split(ids[c], edge[1:]), "sims": np.split(sim, edge[1:])})
+        ids, weight = rows["id"].to_numpy(), rows["w"].to_numpy()
+        x = unpack(rows["vec"].tolist())
+        for q, c, sim, of, chance in search(ids, x, rows["t"].to_numpy(), rows["g"].to_numpy(), rows["lv"].to_numpy(), s):
+            edge = np.searchsorted(q, of)
+            missed = np.log1p(-np.minimum(chance, 0.9999)) * weight[of]
+            yield pd.DataFrame({"id": ids[of], "others": np.split(ids[c], edge[1:]), "sims": np.split(sim, edge[1:]), "missed": missed})
 
     return run
 
@@ -251,16 +335,27 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, s: Settings = Settings(),
     shared = spark.sparkContext.broadcast(hot)
     routed_rows = rows * s.tables + int((last["n"] * (last["blocks"] - 2)).sum())
     parts = partitions or max(8, -(-routed_rows // 40_000))
-    routed = base.mapInPandas(_route("id", "vec", shared, s), "t int, g bigint, id string, vec binary")
-    lists = routed.repartition(parts, "t", "g").mapInPandas(_search(s), "id string, others array<string>, sims array<float>")
-    pairs = lists.select("id", F.arrays_zip("others", "sims").alias("p"))
-    merged = pairs.groupBy("id").agg(F.flatten(F.collect_list("p")).alias("p"))  # at most k entries a table and block
+    routed = base.mapInPandas(_route("id", "vec", shared, s), "t int, g bigint, lv byte, w float, id string, vec binary")
+    lists = routed.repartition(parts, "t", "g").mapInPandas(_search(s), "id string, others array<string>, sims array<float>, missed double")
+    pairs = lists.select("id", F.arrays_zip("others", "sims").alias("p"), "missed")
+    merged = pairs.groupBy("id").agg(F.flatten(F.collect_list("p")).alias("p"), F.exp(F.sum("missed")).alias("missed"))  # at most k entries a table and block
     ranked = F.slice(F.array_sort(F.array_distinct(F.transform(
         "p", lambda p: F.struct((-p["sims"]).alias("d"), p["others"].alias("other"))))), 1, 4 * s.k)
     # One other can come with similarities that differ in the last bit; the nearest of each is kept.
     once = F.filter(ranked, lambda p, i: F.array_position(F.transform(ranked, lambda z: z["other"]), p["other"]) == i + 1)
-    return merged.select("id", F.explode(F.slice(once, 1, s.k)).alias("p")).select(
-        "id", "p.other", (-F.col("p.d")).alias("similarity"))
+    best = durable(merged.select("id", F.slice(once, 1, s.k).alias("p"), (F.col("missed") > 1 - TARGET).alias("open")))
+    done = best.where(~F.col("open")).select("id", F.explode("p").alias("p")).select("id", "p.other", (-F.col("p.d")).cast("double").alias("similarity"))
+    return done.unionByName(_exact(base, best.where("open").select("id"), s.k))
+
+
+def _exact(base: DataFrame, open_ids: DataFrame, k: int) -> DataFrame:
+    """The k nearest of some vectors among all, in blocks of queries."""
+    squares = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
+    items = base.where((squares > 0) & (squares < float("inf"))).select(F.col("id").alias("item_id"), "vec").dropDuplicates(["item_id"])
+    queries = items.withColumnRenamed("item_id", "query_id").join(open_ids.withColumnRenamed("id", "query_id"), "query_id", "left_semi")
+    found = retrieval.top_k(queries, items, k + 1).where(F.col("query_id") != F.col("item_id")).dropDuplicates(["query_id", "item_id"])
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= k).select(F.col("query_id").alias("id"), F.col("item_id").alias("other"), F.col("score").alias("similarity"))
 
 
 def neighbour_pairs(near: DataFrame) -> DataFrame:
