@@ -18,34 +18,46 @@ from pyspark.sql import Window
 from ragloom.operators.durable import durable
 
 #: Query vectors compared at a time, and blocks that one pass over the items takes along.
-BLOCK, BLOCKS_A_PASS = 4096, 16
+BLOCK, BLOCKS_A_PASS = 1024, 64
 
 
-def _local_best(sent, k: int, block: int, by: str | None, item_batch: int = 8192):
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1; a zero vector stays zero."""
+    length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
+
+
+def _local_best(sent, k: int, block: int, by: str | None, item_batch: int = 4096):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, flat, dim = sent.value
-        matrix = np.frombuffer(flat, np.float64).reshape(len(ids), dim)
-        lengths = (matrix * matrix).sum(axis=1)
-        best: dict[tuple, list[tuple[float, object]]] = {}
+        matrix = _unit(np.frombuffer(flat, np.float64).reshape(len(ids), dim))
+        best: dict[object, list] = {}  # group -> a list of (-score, item) for each query
+        worst: dict[object, np.ndarray] = {}  # group -> score of each query's k-th best so far
         for batch in batches:
             batch = batch[batch["vec"].notna()]
             batch = batch[batch["vec"].map(len) == dim]
             for group, rows in ((None, batch),) if by is None else batch.groupby(by, dropna=False):
+                lists = best.setdefault(group, [[] for _ in ids])
+                least = worst.setdefault(group, np.full(len(ids), -np.inf))
                 for at in range(0, len(rows), item_batch):
                     part = rows.iloc[at:at + item_batch]
-                    vectors = np.array(part["vec"].tolist(), np.float64).reshape(len(part), dim)
-                    items, own = part["item_id"].to_numpy(), (vectors * vectors).sum(axis=1)
+                    vectors, items = _unit(np.array(part["vec"].tolist(), np.float64).reshape(len(part), dim)), part["item_id"].to_numpy()
                     for lo in range(0, len(ids), block):
-                        both = np.sqrt(np.multiply.outer(lengths[lo:lo + block], own))
-                        with np.errstate(divide="ignore", invalid="ignore"):
-                            scores = np.round(np.where(both > 0, matrix[lo:lo + block] @ vectors.T / both, 0.0), 9)
-                        cut = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
-                        for q in range(len(scores)):
-                            found = np.flatnonzero(scores[q] >= cut[q])  # with all ties of the k-th
-                            merged = best.get((group, lo + q), []) + [(-scores[q, j], items[j]) for j in found]
-                            merged.sort()
-                            best[group, lo + q] = merged[:k]
-        out = pd.DataFrame([(ids[q], group, item, -score) for (group, q), found in best.items() for score, item in found],
+                        scores = matrix[lo:lo + block] @ vectors.T
+                        cut = least[lo:lo + block]
+                        if np.isinf(cut).any() and scores.shape[1] > k:
+                            cut = np.maximum(cut, np.partition(scores, -k, axis=1)[:, -k])
+                        q, j = np.nonzero(scores >= cut[:, None] - 2e-9)  # with all ties of the k-th
+                        found = np.round(scores[q, j], 9)
+                        edges = np.flatnonzero(np.diff(q, prepend=-1))
+                        for begin, end in zip(edges, np.append(edges[1:], len(q))):
+                            own = lists[lo + q[begin]]
+                            own += [(-s, items[i]) for s, i in zip(found[begin:end].tolist(), j[begin:end])]
+                            own.sort()
+                            del own[k:]
+                            if len(own) == k:
+                                least[lo + q[begin]] = -own[-1][0]
+        out = pd.DataFrame([(ids[q], group, item, -score) for group, lists in best.items() for q, own in enumerate(lists) for score, item in own],
                            columns=["query_id", by or "_", "item_id", "score"])
         yield out if by else out.drop(columns="_")
 
