@@ -339,11 +339,11 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, s: Settings = Settings(),
     lists = routed.repartition(parts, "t", "g").mapInPandas(_search(s), "id string, others array<string>, sims array<float>, missed double")
     pairs = lists.select("id", F.arrays_zip("others", "sims").alias("p"), "missed")
     merged = pairs.groupBy("id").agg(F.flatten(F.collect_list("p")).alias("p"), F.exp(F.sum("missed")).alias("missed"))  # at most k entries a table and block
-    ranked = F.slice(F.array_sort(F.array_distinct(F.transform(
-        "p", lambda p: F.struct((-p["sims"]).alias("d"), p["others"].alias("other"))))), 1, 4 * s.k)
+    ranked = F.slice(F.array_sort(F.array_distinct(F.transform("p", lambda p: F.struct((-p["sims"]).alias("d"), p["others"].alias("other"))))), 1, 4 * s.k)
+    named = merged.select("id", "missed", ranked.alias("r")).select("id", "missed", "r", F.transform("r", lambda p: p["other"]).alias("names"))
     # One other can come with similarities that differ in the last bit; the nearest of each is kept.
-    once = F.filter(ranked, lambda p, i: F.array_position(F.transform(ranked, lambda z: z["other"]), p["other"]) == i + 1)
-    best = durable(merged.select("id", F.slice(once, 1, s.k).alias("p"), (F.col("missed") > 1 - TARGET).alias("open")))
+    once = F.filter("r", lambda p, i: F.array_position("names", p["other"]) == i + 1)
+    best = durable(named.select("id", F.slice(once, 1, s.k).alias("p"), (F.col("missed") > 1 - TARGET).alias("open")))
     done = best.where(~F.col("open")).select("id", F.explode("p").alias("p")).select("id", "p.other", (-F.col("p.d")).cast("double").alias("similarity"))
     return done.unionByName(_exact(base, best.where("open").select("id"), s.k))
 
