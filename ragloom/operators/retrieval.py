@@ -53,8 +53,7 @@ def _local_best(sent, k: int, block: int, by: str | None, item_batch: int = 4096
                         for begin, end in zip(edges, np.append(edges[1:], len(q))):
                             own = lists[lo + q[begin]]
                             own += [(-s, items[i]) for s, i in zip(found[begin:end].tolist(), j[begin:end])]
-                            own.sort()
-                            del own[k:]
+                            own[:] = sorted(set(own))[:k]
                             if len(own) == k:
                                 least[lo + q[begin]] = -own[-1][0]
         out = pd.DataFrame([(ids[q], group, item, -score) for group, lists in best.items() for q, own in enumerate(lists) for score, item in own],
@@ -68,7 +67,8 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 5, block: int = BLOCK,
     """(query_id, [by,] item_id, score, rank) of queries (query_id, vec) against items (item_id, vec).
 
     With `by`, a column of the items with few values, the k best of each of its values come out of the same pass. More
-    queries than BLOCKS_A_PASS blocks take further passes. Vectors of another length than the queries' are nobody's best.
+    queries than BLOCKS_A_PASS blocks take further passes. Vectors of another length than the queries' are nobody's best. Repeated
+    rows of an item count once.
     """
     known = durable(queries.where("vec is not null and size(vec) > 0").select("query_id", "vec"))
     kinds = dict(items.dtypes)
@@ -89,7 +89,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 5, block: int = BLOCK,
     if local is None:
         local = items.sparkSession.createDataFrame([], schema)
     order = Window.partitionBy("query_id", *own).orderBy(F.desc("score"), "item_id")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return local.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).dropDuplicates(["query_id", *own, "item_id"])
 
 
 def rerank(df: DataFrame, score: Column, by: list[str], ties: Column) -> DataFrame:
