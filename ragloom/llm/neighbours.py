@@ -49,6 +49,8 @@ class Settings:
 
 #: Chance of meeting a neighbour from which a group is not searched further, and from which a vector is done.
 PROBED, TARGET = 0.5, 0.9
+#: Up to this many ids of doubtful vectors are sent to all tasks.
+SENT_IDS = 200_000
 #: Coarse functions used at each level; beyond the last level groups are joined in blocks.
 LEVELS = (1, 2, 3, 4, 6, 8, 12)
 
@@ -351,8 +353,10 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, s: Settings = Settings(),
 def _exact(base: DataFrame, open_ids: DataFrame, k: int) -> DataFrame:
     """The k nearest of some vectors among all, in blocks of queries."""
     squares = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    items = base.where((squares > 0) & (squares < float("inf"))).select(F.col("id").alias("item_id"), "vec").dropDuplicates(["item_id"])
-    queries = items.withColumnRenamed("item_id", "query_id").join(open_ids.withColumnRenamed("id", "query_id"), "query_id", "left_semi")
+    items = base.where((squares > 0) & (squares < float("inf"))).select(F.col("id").alias("item_id"), "vec")
+    wanted = open_ids.withColumnRenamed("id", "query_id")
+    wanted = F.broadcast(wanted) if open_ids.count() <= SENT_IDS else wanted  # a checked number; more are joined by shuffle
+    queries = items.withColumnRenamed("item_id", "query_id").join(wanted, "query_id", "left_semi").dropDuplicates(["query_id"])
     found = retrieval.top_k(queries, items, k + 1).where(F.col("query_id") != F.col("item_id")).dropDuplicates(["query_id", "item_id"])
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return found.withColumn("nth", nth).where(F.col("nth") <= k).select(F.col("query_id").alias("id"), F.col("item_id").alias("other"), F.col("score").alias("similarity"))
