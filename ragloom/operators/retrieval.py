@@ -29,7 +29,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 def _local_best(sent, k: int, block: int, by: str | None, item_batch: int = 4096):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, flat, dim = sent.value
+        ids, flat, dim, floor = sent.value
         matrix = _unit(np.frombuffer(flat, np.float64).reshape(len(ids), dim))
         best: dict[object, list] = {}  # group -> a list of (-score, item) for each query
         worst: dict[object, np.ndarray] = {}  # group -> score of each query's k-th best so far
@@ -38,7 +38,7 @@ def _local_best(sent, k: int, block: int, by: str | None, item_batch: int = 4096
             batch = batch[batch["vec"].map(len) == dim]
             for group, rows in ((None, batch),) if by is None else batch.groupby(by, dropna=False):
                 lists = best.setdefault(group, [[] for _ in ids])
-                least = worst.setdefault(group, np.full(len(ids), -np.inf))
+                least = worst.setdefault(group, floor.copy())
                 for at in range(0, len(rows), item_batch):
                     part = rows.iloc[at:at + item_batch]
                     vectors, items = _unit(np.array(part["vec"].tolist(), np.float64).reshape(len(part), dim)), part["item_id"].to_numpy()
@@ -54,7 +54,7 @@ def _local_best(sent, k: int, block: int, by: str | None, item_batch: int = 4096
                             own = lists[lo + q[begin]]
                             own += [(-s, items[i]) for s, i in zip(found[begin:end].tolist(), j[begin:end])]
                             own[:] = sorted(set(own))[:k]
-                            if len(own) == k:
+                            if len(own) == k and -own[-1][0] > least[lo + q[begin]]:
                                 least[lo + q[begin]] = -own[-1][0]
         out = pd.DataFrame([(ids[q], group, item, -score) for group, lists in best.items() for q, own in enumerate(lists) for score, item in own],
                            columns=["query_id", by or "_", "item_id", "score"])
@@ -68,9 +68,10 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 5, block: int = BLOCK,
 
     With `by`, a column of the items with few values, the k best of each of its values come out of the same pass. More
     queries than BLOCKS_A_PASS blocks take further passes. Vectors of another length than the queries' are nobody's best. Repeated
-    rows of an item count once.
+    rows of an item count once. Where the queries have `least`, items of a lower similarity are left out.
     """
-    known = durable(queries.where("vec is not null and size(vec) > 0").select("query_id", "vec"))
+    known = durable(queries.where("vec is not null and size(vec) > 0").select(
+        "query_id", "vec", F.coalesce("least", F.lit(float("-inf"))).alias("least") if "least" in queries.columns else F.lit(float("-inf")).alias("least")))
     kinds = dict(items.dtypes)
     own = [by] if by else []
     schema = ", ".join([f"query_id {dict(queries.dtypes)['query_id']}", *[f"{c} {kinds[c]}" for c in own], f"item_id {kinds['item_id']}", "score double"])
@@ -83,7 +84,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 5, block: int = BLOCK,
             rows = numbered.where(F.col("pass") == p).orderBy("query_id").collect()
             if rows:
                 flat = np.array([r["vec"] for r in rows], np.float64).tobytes()
-                sent = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], flat, dim))
+                sent = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], flat, dim, np.array([r["least"] for r in rows])))
                 part = items.select("item_id", "vec", *own).mapInPandas(_local_best(sent, k, block, by), schema)
                 local = part if local is None else local.unionByName(part)
     if local is None:
