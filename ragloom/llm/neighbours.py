@@ -347,11 +347,11 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, s: Settings = Settings(),
     once = F.filter("r", lambda p, i: F.array_position("names", p["other"]) == i + 1)
     best = durable(named.select("id", F.slice(once, 1, s.k).alias("p"), (F.col("missed") > 1 - TARGET).alias("open")))
     done = best.where(~F.col("open")).select("id", F.explode("p").alias("p")).select("id", "p.other", (-F.col("p.d")).cast("double").alias("similarity"))
-    return done.unionByName(_exact(base, best.where("open").select("id"), s.k))
+    return done.unionByName(_exact(base, best.where("open").select("id", F.when(F.size("p") == s.k, -F.element_at("p", -1)["d"].cast("double") - 1e-4).alias("least")), s.k))
 
 
 def _exact(base: DataFrame, open_ids: DataFrame, k: int) -> DataFrame:
-    """The k nearest of some vectors among all, in blocks of queries."""
+    """The k nearest of some vectors (id, least) among all, in blocks of queries; `least` is about the k-th similarity known so far."""
     squares = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     items = base.where((squares > 0) & (squares < float("inf"))).select(F.col("id").alias("item_id"), "vec")
     wanted = open_ids.withColumnRenamed("id", "query_id")
