@@ -58,6 +58,20 @@ def test_neighbours_in_one_tight_cluster(spark):
     assert recall >= 0.95, recall
 
 
+def test_neighbours_in_many_groups_are_not_compared_with_all(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.standard_normal((300, 64)), 10, axis=0)
+    x = x / np.linalg.norm(x, axis=1)[:, None] + 0.02 * rng.standard_normal(x.shape)
+    df = spark.createDataFrame([(f"c{i:04d}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, embedding array<float>")
+    doubtful, exact = [], neighbours._exact
+    monkeypatch.setattr(neighbours, "_exact", lambda base, open_ids, k: doubtful.append(open_ids.count()) or exact(base, open_ids, k))
+    near = defaultdict(set)
+    for r in neighbours.nearest(df, "chunk_id", "embedding", neighbours.Settings(group_rows=64), partitions=4).collect():
+        near[r["id"]].add(int(r["other"][1:]))
+    assert np.mean([len(near[f"c{i:04d}"] & t) / 5 for i, t in enumerate(brute(x))]) >= 0.99
+    assert doubtful[0] <= len(x) // 100, doubtful  # else the comparison with all grows with the square of the table
+
+
 def test_probes_are_valid_and_ordered():
     sets = neighbours.probe_sets(8, 60)
     assert len(sets) == len(set(sets)) == 60 and sets[0] == (1,)
