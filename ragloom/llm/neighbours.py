@@ -230,7 +230,7 @@ def block_pairs(group: np.ndarray, blocks: np.ndarray, salt: np.ndarray) -> Iter
 
 
 def probe_sets(m: int, count: int) -> list[tuple[int, ...]]:
-    """Sets of ranks 1..2m of perturbations, in the order of their expected score.
+    """Sets of ranks 1..2m of perturbations of m p-stable functions, in the order of their expected score; `nearest` doesn't use them.
 
     Rank j stands for the j-th nearest bucket border; ranks j and 2m+1-j are the two borders of one function.
     """
